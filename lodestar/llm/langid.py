@@ -13,7 +13,7 @@ text (ties: the first in sorted order). Each distinct word of a slice is scored
 
 Calibrated rejection: a fifth of the sample is kept apart; a text is ``rejected`` if it has no letter,
 or at least ``REJECT_LETTERS`` letters and a cross-entropy above the mean of the predicted language's
-kept texts by more than ``REJECT_SIGMAS`` deviations (at least 0.1 nats each).
+kept texts by more than ``REJECT_SIGMAS`` deviations (at least 0.2 nats each).
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0 and rejected. A null id
 falls in fold 0 (held out). Null languages are never learned. With nothing to learn from, every text
@@ -177,7 +177,7 @@ class CharModels:
                 h, letters = self.entropies(pa.array(texts, pa.string()))
                 own = h[letters >= REJECT_LETTERS, i]
                 if len(own):
-                    self.limits[i] = own.mean() + REJECT_SIGMAS * max(own.std(), 0.1)
+                    self.limits[i] = own.mean() + REJECT_SIGMAS * max(own.std(), 0.2)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, cross-entropy, rejected) by row."""
