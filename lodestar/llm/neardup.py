@@ -16,9 +16,10 @@ graph are the groups.
    just the classes that occur in a pair.
 5. *Union-find.* Components by alternating large-star and small-star hooking on the link table.
 6. *Cross pairs.* A star proves too little where a bucket's members stay in different components:
-   there all pairs of members of different components are compared by signature, in blocks of
-   bounded size, and those whose estimate is not far below the limit are verified too. So every
-   pair that shares a bucket is either in one component or refuted.
+   there members of different components are compared by signature, in blocks of bounded size, and
+   those whose estimate is not far below the limit on their sets, until the components of the block
+   are one. Only confirmed links leave the task. So every pair that shares a bucket is either in one
+   component or refuted.
 
 Hot groups: aggregates combine before the shuffle; joins are plain sort-merge joins that adaptive
 execution may split; no bucket, class or component is gathered in a task. All intermediate results
@@ -44,7 +45,7 @@ WIDTH = 5
 BANDS, ROWS = 32, 4
 SIZE = BANDS * ROWS
 PERCENT = 75
-BLOCK = 256
+BLOCK = 1024
 #: A pair at the limit has fewer equal values than this with probability below 1e-8.
 LEAST_EQUAL = 62
 
@@ -85,7 +86,7 @@ def super_minhash(row: np.ndarray, h: np.ndarray, n_rows: int, size: int = SIZE)
     for j in range(size):
         if not len(h):
             break
-        draw = mix(h + np.uint64(j + 1) * _C)
+        draw = mix(h + np.uint64((j + 1) * int(_C) & 0xFFFFFFFFFFFFFFFF))
         pick = j + (((draw >> _S32) * np.uint64(size - j)) >> _S32).astype(np.int64)
         place = pick.copy()
         for i in range(j - 1, -1, -1):  # undo the swaps of earlier ranks
@@ -132,31 +133,35 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"node": part.column("doc_id"), "shingles": pa.array([h[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
 
 
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the limit."""
+    if len(p) > len(q):
+        p, q = q, p
+    if not len(p) or 100 * len(p) < percent * len(q):
+        return False
+    both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def _confirm(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            linked = np.zeros(batch.num_rows, bool)
             x, y = batch.column("x"), batch.column("y")
-            for i in range(batch.num_rows):
-                p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    continue
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                linked[i] = 100 * both >= percent * (len(p) + len(q) - both)
-            keep = pa.array(np.flatnonzero(linked))
-            yield pa.RecordBatch.from_arrays([a.take(keep), b.take(keep)], names=["a", "b"])
+            linked = [i for i in range(batch.num_rows) if similar(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), percent)]
+            keep = pa.array(linked, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
     return confirm
 
 
+def shingle_table(needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles) of the documents whose ids are needed."""
+    return persisted(docs.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "node long, shingles binary"), "sets")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of ids whose full shingle sets reach the limit; docs has doc_id and text."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = persisted(docs.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "node long, shingles binary"), "sets")
+    sets = shingle_table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs)
     joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return persisted(joined.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "links")
 
@@ -180,39 +185,55 @@ def components(links: DataFrame) -> DataFrame:
         edges = persisted(small.distinct(), "edges")
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within each (key, i, j) run of a sorted partition."""
+def _cross(percent: int):
+    """Links between different components within each (key, i, j) run of a sorted partition."""
 
-    def pairs(run: list[tuple]) -> list[tuple[int, int]]:
-        if not run:
+    def links(key: int, run: list[tuple]) -> list[tuple[int, int]]:
+        if len(run) < 2:
             return []
-        node = np.array([r[0] for r in run])
-        comp = np.array([r[1] for r in run])
-        block = np.array([r[2] for r in run])
-        size = np.array([r[3] for r in run])
-        sig = np.frombuffer(b"".join(r[4] for r in run), np.uint8).reshape(len(run), -1)
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while c in root:
+                c = root[c]
+            return c
+
+        node, comp, block = (np.array([r[k] for r in run]) for k in range(3))
+        bands = np.array([r[3] for r in run], np.int64)
+        sets = [np.frombuffer(r[4], np.uint64) for r in run]
+        size = np.array([len(x) for x in sets])
+        sig = np.frombuffer(b"".join(r[5] for r in run), np.uint8).reshape(len(run), -1)
+        band = int(np.flatnonzero(bands[0] == key)[0])
+        parted = len({*block.tolist()}) > 1
         found = []
         for x in range(len(run) - 1):
             y = np.arange(x + 1, len(run))
-            y = y[comp[y] != comp[x]]
-            if len({*block.tolist()}) > 1:
-                y = y[block[y] != block[x]]
-            y = y[100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x])]
+            y = y[(comp[y] != comp[x]) & ((block[y] != block[x]) | (not parted))]
+            y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
             y = y[(sig[y] == sig[x]).sum(1) >= LEAST_EQUAL]
-            found += [(int(max(node[x], node[k])), int(min(node[x], node[k]))) for k in y]
+            y = y[(bands[y] == bands[x]).argmax(1) == band]  # else an earlier band's bucket has the pair
+            for k in y.tolist():
+                p, q = find(int(comp[x])), find(int(comp[k]))
+                if p != q and similar(sets[x], sets[k], percent):
+                    root[max(p, q)] = min(p, q)
+                    found.append((int(max(node[x], node[k])), int(min(node[x], node[k]))))
         return found
 
-    run, at = [], None
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    for batch in batches:
-        out = []
-        for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "component", "block", "n", "sig"))):
-            if (key, i, j) != at:
-                out += pairs(run)
-                run, at = [], (key, i, j)
-            run.append(tuple(row))
-        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], schema=schema)
-    yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in pairs(run)], schema=schema)
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, at = [], None
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for batch in batches:
+            out = []
+            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "component", "block", "bands", "shingles", "sig"))):
+                if (key, i, j) != at:
+                    out += links(at[0], run) if at else []
+                    run, at = [], (key, i, j)
+                run.append(tuple(row))
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], schema=schema)
+        if at:
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links(at[0], run)], schema=schema)
+
+    return cross
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -234,11 +255,14 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     rows = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "block")
-    rows = rows.join(classes.select("node", "n", "sig"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = persisted(rows.mapInArrow(_cross, "a long, b long").distinct(), "cross")
-    if not more.isEmpty():
-        links = links.union(verified(more, docs, percent))
-        grouped = persisted(components(links), "components")
+    rows = persisted(rows, "mixed")
+    if not rows.isEmpty():
+        sets = shingle_table(rows.select(F.col("node").alias("doc_id")).distinct(), docs)
+        rows = rows.join(classes.select("node", "bands", "sig"), "node").join(sets, "node")
+        rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        more = persisted(rows.mapInArrow(_cross(percent), "a long, b long"), "cross")
+        if not more.isEmpty():
+            grouped = persisted(components(links.union(more)), "components")
 
     # a component's name is its smallest node, and a node is the smallest id of its class
     named = classes.join(grouped, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
