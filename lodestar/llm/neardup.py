@@ -159,9 +159,8 @@ def shingle_table(needed: DataFrame, docs: DataFrame) -> DataFrame:
     return persisted(docs.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "node long, shingles binary"), "sets")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets reach the limit; docs has doc_id and text."""
-    sets = shingle_table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs)
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of ids whose full shingle sets reach the limit."""
     joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return persisted(joined.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "links")
 
@@ -246,7 +245,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     banded = classes.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
     members = persisted(banded.join(shared, "key"), "members")
-    links = verified(members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), docs, percent)
+    sets = shingle_table(members.select(F.col("node").alias("doc_id")).distinct(), docs)  # of every class that shares a bucket
+    links = verified(members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets, percent)
     grouped = persisted(components(links), "components")
 
     placed = members.join(grouped, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -257,7 +257,6 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "block")
     rows = persisted(rows, "mixed")
     if not rows.isEmpty():
-        sets = shingle_table(rows.select(F.col("node").alias("doc_id")).distinct(), docs)
         rows = rows.join(classes.select("node", "bands", "sig"), "node").join(sets, "node")
         rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         more = persisted(rows.mapInArrow(_cross(percent), "a long, b long"), "cross")
