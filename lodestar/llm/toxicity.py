@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +51,7 @@ PREFIXES = (4, 5, 6, 7)
 LEAST_GAIN = 15.0
 LEAST_PRECISION = 0.7
 MAX_TERMS = 4096
+LEAST_TEXTS = 4
 REACH = 3
 
 INSULTS = ("idiot", "idiots", "moron", "morons", "imbecile", "stupid", "dumbass", "scum", "scumbag", "worthless", "pathetic", "disgusting", "loser", "losers", "bastard", "bitch", "asshole", "vermin", "retard", "degenerate")
@@ -60,6 +61,7 @@ NEGATIONS = ("not", "never", "no", "isn", "aren", "wasn", "don", "doesn", "nobod
 REPORTS = ("said", "says", "claimed", "claims", "wrote", "called", "reported", "quoted", "alleged", "sagte", "dit", "dijo")
 
 _CLAUSE = re.compile(r"[^.!?;:\n]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _WORD = re.compile(r"[^\W\d_]+|[\"“”«»]")
 _QUOTES = frozenset("\"“”«»")
 
@@ -177,22 +179,25 @@ def _gain(toxic: float, clean: float, rate: float) -> float:
     return (toxic * math.log(toxic / (n * rate)) if toxic else 0.0) + (clean * math.log(clean / (n * (1 - rate))) if clean else 0.0)
 
 
+def _terms(words: set[str]) -> set[tuple[str, bool]]:
+    return {(w, False) for w in words} | {(w[:n], True) for n in PREFIXES for w in words if len(w) > n}
+
+
 def learn(texts: list[str], labels: list[int]) -> Grammar:
     """A grammar from labelled texts."""
     groups: list[dict[int, bool]] = [{}, {}]
     held: dict[tuple[str, bool], list[set]] = defaultdict(lambda: [set(), set()])
-    kinds: dict[str, set[str]] = defaultdict(set)
+    # only terms of several toxic texts can enter: the groups of others needn't be held
+    often = Counter(t for text, label in zip(texts, labels) if label for t in _terms(set(_LETTERS.findall(text.lower()))))
+    often = {t for t, n in often.items() if n >= LEAST_TEXTS} | {(w, False) for w in INSULTS}
     for text, label in zip(texts, labels):
-        found = {w for w in re.findall(r"[^\W\d_]+", text.lower())}
+        found = set(_LETTERS.findall(text.lower()))
         if not found:
             continue
         long = [w for w in found if len(w) > 5] or list(found)
         group = min(hash_of(w) for w in long)
         groups[label][group] = True
-        terms = {(w, False) for w in found}
-        for n in PREFIXES:
-            terms |= {(w[:n], True) for w in found if len(w) > n}
-        for t in terms:
+        for t in _terms(found) & often:
             held[t][label].add(group)
     n_toxic, n_clean = len(groups[1]), len(groups[0])
     words: dict[str, float] = {}
@@ -201,7 +206,7 @@ def learn(texts: list[str], labels: list[int]) -> Grammar:
         rate = n_toxic / (n_toxic + n_clean)
         scored = {}
         for t, (clean, toxic) in held.items():
-            if len(toxic) >= 4 and len(toxic) >= LEAST_PRECISION * (len(toxic) + len(clean)) and (g := _gain(len(toxic), len(clean), rate)) >= LEAST_GAIN:
+            if len(toxic) >= LEAST_TEXTS and len(toxic) >= LEAST_PRECISION * (len(toxic) + len(clean)) and (g := _gain(len(toxic), len(clean), rate)) >= LEAST_GAIN:
                 scored[t] = (g, math.log((len(toxic) + 0.5) / (n_toxic + 1)) - math.log((len(clean) + 0.5) / (n_clean + 1)))
         for (term, prefix), (_, weight) in sorted(scored.items(), key=lambda x: (-x[1][0], -len(x[0][0]), x[0]))[:MAX_TERMS]:
             (prefixes if prefix else words)[term] = weight
