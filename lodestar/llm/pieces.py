@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -44,6 +45,13 @@ UNKNOWN_PENALTY = 10.0
 CACHE_SEGMENTS = 300_000
 MODEL = "piece_bpe_32k.model"
 
+#: Stands for "no piece starts so" in lookups of beginnings, where None is a beginning that is no piece.
+_NONE = object()
+
+
+def _pack(n: int, ids: list[int]) -> bytes:
+    return struct.pack(f"<{n}I", *ids)
+
 
 def model_path(name: str = MODEL) -> str:
     import public_tokenizers
@@ -56,6 +64,11 @@ class PieceLattice:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: dict[int, int], unknown_id: int = 0) -> None:
         self.pieces, self.byte_ids, self.unknown_id = pieces, byte_ids, unknown_id
+        self.beginnings: dict[str, tuple[int, float] | None] = {}
+        for p in pieces:
+            for k in range(1, len(p)):
+                self.beginnings.setdefault(p[:k], None)
+            self.beginnings[p] = pieces[p]
         self.longest = max(map(len, pieces), default=1)
         self.unknown_score = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
         crossing = any(MARK in p.lstrip(MARK) for p in pieces)
@@ -128,23 +141,43 @@ class PieceLattice:
 
     def _search(self, s: str) -> tuple[bytes, float, float]:
         """(ids of the best path, its score, its gap to the second best)."""
-        arcs = self.arcs(s)
-        best, via = self.forward(arcs)
-        n = len(s)
-        back = [-float("inf")] * n + [0.0]
-        for j in range(n, 0, -1):
-            for i, score, _ in arcs[j]:
-                if (x := back[j] + score) > back[i]:
-                    back[i] = x
-        used, ids, j = set(), [], n
+        n, trie, none, low = len(s), self.beginnings, _NONE, -float("inf")
+        best, via, arcs = [0.0] + [low] * n, [None] * (n + 1), []
+        for i in range(n):
+            here, alone = best[i], False
+            for j in range(i + 1, n + 1):
+                piece = trie.get(s[i:j], none)
+                if piece is none:
+                    break
+                if piece is not None:
+                    score = piece[1]
+                    arcs.append((i, j, score))
+                    alone = alone or j == i + 1
+                    if here + score > best[j]:
+                        best[j], via[j] = here + score, (i, piece[0])
+            if not alone:
+                score = self.unknown_score
+                arcs.append((i, i + 1, score))
+                if here + score > best[i + 1]:
+                    best[i + 1], via[i + 1] = here + score, (i, self._unknown(s[i]))
+        back = [low] * n + [0.0]
+        for i, j, score in reversed(arcs):
+            if back[j] + score > back[i]:
+                back[i] = back[j] + score
+        came, ids, j = [-1] * (n + 1), [], n
         while j:
-            used.add((via[j][0], j))
-            ids.append(via[j][2])
-            j = via[j][0]
-        second = max((best[i] + score + back[j] for j in range(1, n + 1) for i, score, _ in arcs[j] if (i, j) not in used), default=-float("inf"))
+            i, piece = via[j]
+            came[j] = i
+            if piece.__class__ is int:
+                ids.append(piece)
+            else:
+                ids.extend(reversed(piece))
+            j = i
+        second = max([best[i] + score + back[j] for i, j, score in arcs if came[j] != i], default=low)
         if len(self.cache) >= CACHE_SEGMENTS:
             self.cache.clear()
-        out = self.cache[s] = (np.array([x for part in reversed(ids) for x in part], "<u4").tobytes(), best[-1], best[-1] - second)
+        ids.reverse()
+        out = self.cache[s] = (_pack(len(ids), ids), best[-1], best[-1] - second)
         return out
 
     def encode(self, text: str | None, n: int = 1) -> list[tuple[float, bytes]]:
