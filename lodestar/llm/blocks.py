@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+#: As many ids (16 MB of longs) may be broadcast; more are joined by a shuffle of both sides.
+BROADCAST_IDS = 1 << 21
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -171,6 +173,14 @@ def persisted(df: DataFrame, name: str, by: list[str] | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_ids(rows: DataFrame, ids: DataFrame, how: str, most: int = BROADCAST_IDS) -> DataFrame:
+    """Semi or anti join of rows with ids (distinct values of one column that rows have too), which are written and counted first.
+
+    Texts needn't move where the ids are few: at most ``most`` are broadcast. Beyond that both sides are shuffled."""
+    ids = persisted(ids, "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, ids.columns, how)
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id falls in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % parts, F.lit(0))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.blocks import _MULT, Words, mix, persisted, slices, table
+from lodestar.llm.blocks import _MULT, Words, by_ids, mix, persisted, slices, table
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
@@ -156,7 +156,7 @@ def _confirm(percent: int):
 
 def shingle_table(needed: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, shingles) of the documents whose ids are needed."""
-    return persisted(docs.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "node long, shingles binary"), "sets")
+    return persisted(by_ids(docs, needed, "left_semi").select("doc_id", "text").mapInArrow(_sets, "node long, shingles binary"), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.llm import chat, hilbert, langid, neardup, ngram_lm, packing, pieces, quality, topk, toxicity
-from lodestar.llm.blocks import Words
+from lodestar.llm.blocks import Words, by_ids
 
 LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -58,6 +58,15 @@ def test_word_hashes_tell_words_apart(texts):
     assert Words(pa.array([None, ""], pa.string())).counts.tolist() == [0, 0] and len(Words(pa.array([], pa.string()))) == 0
 
 
+@pytest.mark.parametrize("how,want", [("left_semi", [1, 1, 3]), ("left_anti", [2, None])])
+def test_ids_join_alike_broadcast_or_shuffled(spark, how, want):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e")], "doc_id long, text string")
+    ids = spark.createDataFrame([(1,), (3,), (7,)], "doc_id long")
+    for most in (0, 10):
+        assert sorted((r["doc_id"] for r in by_ids(rows, ids, how, most).collect()), key=lambda x: (x is None, x)) == want
+    assert by_ids(rows, ids.filter("doc_id > 9"), how).count() == (5 if how == "left_anti" else 0)
+
+
 def test_top_k(spark):
     rnd = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rnd.normal(size=6)]) for i in range(300)] + [(1000 + i, [0.5] * 6) for i in range(8)]
