@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.blocks import fold, persisted
+from lodestar.llm.blocks import by_ids, fold, persisted
 from lodestar.llm.langid import fit, identify
 from lodestar.llm.neardup import near_duplicates
 from lodestar.llm.packing import pack, vocabulary_path
@@ -47,7 +47,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = persisted(near_duplicates(docs).select("doc_id", "kept"), "groups")
     ids = groups.filter("doc_id IS NOT NULL")
-    left = docs.join(ids.filter("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    left = by_ids(docs, ids.filter("NOT kept").select("doc_id").distinct(), "left_anti")
     if not ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
         left = left.filter("doc_id IS NULL").union(left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
