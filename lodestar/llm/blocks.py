@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: As many ids (16 MB of longs) may be broadcast; more are joined by a shuffle of both sides.
 BROADCAST_IDS = 1 << 21
 
@@ -48,7 +48,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the hash base and of its inverse modulo 2^64, grown on demand."""
+    """Powers of the hash base and of its inverse modulo 2^64; as many as a slice needs are kept."""
 
     def __init__(self) -> None:
         self.up = np.ones(1, np.uint64)
@@ -59,7 +59,11 @@ class _Powers:
             base = np.full(n, _BASE, np.uint64)
             inverse = np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
             base[0] = inverse[0] = 1
-            self.up, self.down = np.multiply.accumulate(base), np.multiply.accumulate(inverse)
+            np.multiply.accumulate(base, out=base)
+            np.multiply.accumulate(inverse, out=inverse)
+            if n > 2 * SLICE_BYTES:
+                return base, inverse
+            self.up, self.down = base, inverse
         return self.up[:n], self.down[:n]
 
 
