@@ -2,8 +2,10 @@
 
 One model per language, of order 4, over letter words with a start and an end mark. The models are
 fitted on a bounded sample: at most about ``SAMPLE_ROWS`` training rows of a language, chosen by the
-hash of their id among rows of at most ``SAMPLE_BYTES`` of text. So the arrays have a bounded size and
-may be sent to every task; languages, texts and counts themselves are never sampled when predicting.
+hash of their id among all its rows, whatever their length. Of a drawn text of more than
+``SAMPLE_BYTES``, words from all over it, chosen by the hash of their place, stand for the whole, up to
+``SAMPLE_BYTES``; shorter ones are taken whole. So the arrays have a bounded size and may be sent to
+every task; languages, texts and counts themselves are never sampled when predicting.
 
 All n-grams that any language has seen stand in one sorted array of hashes per order, with a row of
 interpolated log-probabilities, one per language, and one array of contexts with their log back-off
@@ -35,6 +37,8 @@ from lodestar.llm.letters import LetterWords
 ORDER = 4
 SAMPLE_ROWS = 400
 SAMPLE_BYTES = 16_384
+#: Where words are chosen from a long text, runs of more letters than this (scripts without spaces) count as several words.
+LONGEST_WORD = 256
 REJECT_SIGMAS = 8.0
 REJECT_LETTERS = 40
 UNDETERMINED = "und"
@@ -196,10 +200,29 @@ class CharModels:
         return [UNDETERMINED if x else self.languages[b] for x, b in zip(none, best)], score, np.where(none, 0.0, lowest), rejected
 
 
+def thinned(text: str, most: int = SAMPLE_BYTES) -> str:
+    """Letter words from all over a text, in their order, of at most ``most`` bytes in all; chosen by the hash of their place."""
+    words = LetterWords(pa.array([text], pa.large_string()))
+    parts = -(-(words.end - words.start) // LONGEST_WORD)
+    place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = np.repeat(words.start, parts) + place * LONGEST_WORD
+    end = np.minimum(start + LONGEST_WORD, np.repeat(words.end, parts))
+    size = np.concatenate([[0], np.cumsum(1 + sum((words.points >= p).astype(np.int64) for p in (0x80, 0x800, 0x10000)))])
+    order = np.argsort(mix(np.arange(len(start), dtype=np.uint64) * _MULT[0] + _MULT[1]), kind="stable")
+    taken = np.searchsorted(np.cumsum((size[end] - size[start])[order] + 1), most, "right")  # a space beside each
+    return " ".join(words.points[start[w] : end[w]].tobytes().decode("utf-32-le", "surrogatepass") for w in np.sort(order[:taken]))
+
+
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "t"):
+            texts = [thinned(t) if len(t) * 4 > SAMPLE_BYTES and len(t.encode("utf-8", "surrogatepass")) > SAMPLE_BYTES else t for t in part.column("t").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"i": part.column("i"), "l": part.column("l"), "t": pa.array(texts, pa.string())})
+
+
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> CharModels:
-    """Models of every language among the training rows, from a sample of about ``rows`` of each."""
-    usable = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    usable = usable.filter(F.octet_length("t") <= SAMPLE_BYTES)
+    """Models of every language among the training rows, from a sample of about ``rows`` of each, of at most ``SAMPLE_BYTES`` a row."""
+    usable = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("l"))
     counts = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     if not counts:
         return CharModels({})
@@ -207,7 +230,8 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     for language, n in counts.items():
         share = F.when(F.col("l") == language, F.lit(min(1.0, rows / n))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit("sample"), "i"), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.filter(draw < share).select("i", "l", "t").toPandas().sort_values(["l", "i"], kind="stable")
+    drawn = usable.filter(draw < share).select("i", "l", "t")
+    sample = drawn.mapInArrow(_thin, drawn.schema).toPandas().sort_values(["l", "i"], kind="stable")
     fitted: dict[str, list[str]] = {}
     kept: dict[str, list[str]] = {}
     for n, (language, text) in enumerate(zip(sample["l"], sample["t"])):

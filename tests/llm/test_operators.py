@@ -317,6 +317,33 @@ def test_language_id(spark):
     assert none["lang_pred"] == "und" and langid.identify(docs.limit(0), models).count() == 0
 
 
+def test_languages_of_long_texts_are_learned(spark):
+    rnd = random.Random(9)
+    word = {
+        "short": lambda: "".join(rnd.choice(["ka", "lo", "mi"]) for _ in range(3)),
+        "books": lambda: "".join(rnd.choice(["sch", "ung", "ver"]) for _ in range(3)),
+        "mixed": lambda: "".join(rnd.choice(["été", "oux", "que"]) for _ in range(3)),
+        "spaceless": lambda: "".join(rnd.choice("天地玄黄宇宙洪荒") for _ in range(9000)),
+    }
+    text = lambda language, n: " ".join(word[language]() for _ in range(n))
+    rows = [(i, text("short", 30), "short") for i in range(60)]
+    rows += [(100 + i, text("books", 3000), "books") for i in range(30)]
+    rows += [(200 + i, text("mixed", 3000) if i > 2 else "zzz www", "mixed") for i in range(30)]
+    rows += [(300 + i, text("spaceless", 1), "spaceless") for i in range(10)]
+    assert min(len(t.encode()) for i, t, _ in rows if t != "zzz www" and i >= 100) > langid.SAMPLE_BYTES
+    models = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert models.languages == ["books", "mixed", "short", "spaceless"]
+    fresh = {language: text(language, 1 if language == "spaceless" else 30) for language in word}
+    got, _, _, rejected = models.predict(pa.array(fresh.values()))
+    assert got == list(fresh) and not rejected.any()
+    thin = langid.thinned(rows[100][1])
+    assert 0.95 * langid.SAMPLE_BYTES < len(thin.encode()) <= langid.SAMPLE_BYTES
+    left = iter(rows[100][1].split())
+    assert all(w in left for w in thin.split())  # a part of the text's words, in their order
+    both = langid.thinned("ab " * 9000 + "cd " * 9000)
+    assert min(both.count("ab"), both.count("cd")) > 2000 and langid.thinned("12 34" * 9000) == ""
+
+
 def test_kneser_ney_sums_to_one():
     m = langid.CharModels({"x": ["abab abba baab", "aab"], "y": ["cc cd"]}, order=3)
     for context in ("", "a", "ab", "zz"):
