@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +14,9 @@ from lodestar.functions.policies import Policy, argmax_action
 from lodestar.operators import bootstrap as boot
 from lodestar.operators.diagnostics import NuisanceDiagnostics, PolicyDiagnostics, behavior_aggregates, nuisance_diagnostics, outcome_aggregates, policy_diagnostics, roc_auc, weight_aggregates
 from lodestar.operators.estimators import MODELLED, WEIGHTED, check_method, estimate_column, score_rows
-from lodestar.operators.models import fit_outcome, min_norm
+from lodestar.operators.models import fit_outcome, fit_scaler
 from lodestar.operators.nuisance import Propensity, fold_column, out_of_fold, resolve_propensity
+from lodestar.operators.refit import draws, refit_replicates
 
 #: Recommendations and the names of notes.
 RECOMMENDED_ESTIMATOR = "dr"
@@ -35,10 +35,6 @@ CAUTION = "Review diagnostics and inference warnings before making product decis
 CONCERN = "Treat comparison as directional; improve overlap/weights or collect more representative logs."
 UNSTABLE = ("low_ess_ratio", "heavy_weight_tail", "extreme_max_weight")
 
-#: Rows times replicates up to which nuisance models are refitted in every replicate by default.
-MAX_REFIT = 200_000_000
-MAX_REFIT_ROWS = 2_000_000
-
 
 def trust(estimator: str, crossfit: bool, notes: Sequence[str], diagnostic: Sequence[str], inference: Sequence[str]) -> tuple[tuple[str, ...], tuple[str, ...], str, str | None]:
     """(info notes, trust notes, level, recommendation)."""
@@ -154,8 +150,8 @@ def compare_policies(df, policyB: Policy, estimator: str = RECOMMENDED_ESTIMATOR
     df is a DataFrame or a LoggedBandit, whose schema names action and target, the cluster unless one
     other than "user_id" is given, and features and propensity unless given.
 
-    refit: fit nuisance models again in every replicate; default: where models are fitted at all and
-    rows times replicates don't exceed MAX_REFIT, else replicates reuse the fitted models and say so.
+    refit: fit nuisance models again in every replicate; default: wherever models are fitted, at every
+    size. With False, replicates reuse the fitted models and say so.
     kind: "multinomial" (exact resampling of clusters) or "poisson".
     """
     if isinstance(df, LoggedBandit):
@@ -189,12 +185,7 @@ def compare_policies(df, policyB: Policy, estimator: str = RECOMMENDED_ESTIMATOR
     notes = p.notes
     if with_ci:
         fitted = source == "estimated" or estimator in MODELLED
-        n = diagnostics.n_samples
-        small = n * n_boot <= MAX_REFIT and n <= MAX_REFIT_ROWS
-        again = fitted and (small if refit is None else refit)
-        if again and not small:
-            raise ValueError("too many rows to refit models in every replicate; pass refit=False")
-        if again:
+        if fitted and (refit is None or refit):
             summary = _refit_bootstrap(df, p, estimator, target, action_col, cluster_col, n_boot, alpha, weight_clip, tau, policyB, source).first()
         else:
             summary = boot.paired_bootstrap(p.scored, estimator, cluster_col, n_boot, alpha, weight_clip, tau, kind, row_key).first()
@@ -213,104 +204,21 @@ def compare_policies(df, policyB: Policy, estimator: str = RECOMMENDED_ESTIMATOR
 
 
 def _refit_bootstrap(df: DataFrame, p: Prepared, method: str, target: str, action_col: str, cluster: str | None, n_boot: int, alpha: float, clip: float | None, tau: float, policy: Policy, source: str | None) -> DataFrame:
-    """Replicates with models fitted again, one task per replicate; rows stand once with a weight."""
-    space, features, binary = list(p.space), list(p.features), p.binary
+    """Replicates with models fitted again, from sums per replicate over rows that stand once with their counts."""
+    space, features = list(p.space), list(p.features)
     at = F.array_position(F.array(*map(F.lit, space)), F.col(action_col)) - 1
-    rows = df.select(*([F.col(cluster).alias("__key")] if cluster in df.columns else [F.monotonically_increasing_id().alias("__key")]), F.array(*[F.col(c).cast("double") for c in features]).alias("x") if features else F.array(F.lit(0.0)).alias("x"), at.cast("int").alias("a"), F.col(target).cast("double").alias("y"), policy.probs().alias("pb"), (p.propensity.pa if source == "logged" else F.lit(1.0)).alias("pa"))
+    x = F.array(*fit_scaler(df, features).columns(features)) if features else F.array(F.lit(0.0))
+    rows = df.select(*([F.col(cluster).alias("__key")] if cluster in df.columns else [F.monotonically_increasing_id().alias("__key")]), x.alias("x"), at.cast("int").alias("a"), F.col(target).cast("double").alias("y"), policy.probs().alias("pb"), (p.propensity.pa if source == "logged" else F.lit(1.0)).alias("pa"))
     rows = boot.cut(rows.filter("__key IS NOT NULL"))
     keys = boot.ranked(rows.select(F.col("__key").alias("key")).distinct(), "key")
-    counts = boot.multinomial_counts(df.sparkSession, keys.count(), n_boot).join(keys, "rank").select("b", F.col("key").alias("__key"), "cnt")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v_a, v_b = refit_value(np.stack(pdf["x"].to_numpy()), pdf["a"].to_numpy(), pdf["y"].to_numpy(float), np.stack(pdf["pb"].to_numpy()), pdf["pa"].to_numpy(float), pdf["cnt"].to_numpy(float), method, binary, source == "estimated", clip, tau)
-        return pd.DataFrame({"v_a": [v_a], "v_b": [v_b], "delta": [v_b - v_a]})
-
-    reps = boot.cut(rows.join(counts, "__key").groupBy("b").applyInPandas(one, "v_a double, v_b double, delta double"))
+    drawn = boot.cut(rows.join(draws(keys, n_boot), "__key").drop("__key"))
+    v_a, v_b = refit_replicates(drawn, n_boot, len(space), max(len(features), 1), method, p.binary, source == "estimated", clip, tau)
+    reps = df.sparkSession.createDataFrame(pd.DataFrame({"v_a": v_a, "v_b": v_b, "delta": v_b - v_a}), "v_a double, v_b double, delta double")
     reps = reps.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in reps.columns])
     point = p.scored.agg(estimate_column("on_policy").alias("v_a"), estimate_column(method, clip, tau).alias("v_b")).withColumn("delta", F.col("v_b") - F.col("v_a"))
     return boot.paired_summary(point, reps, n_boot, alpha)
 
 
-def _standardised(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    mean = c @ x / c.sum()
-    scale = np.sqrt(c @ (x - mean) ** 2 / c.sum())
-    return (x - mean) / np.where(scale > 0, scale, 1.0)
-
-
-def _newton(z: np.ndarray, y: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
-    """Weighted multinomial (k > 1) or binary (k = 1) logistic coefficients, unit L2 penalty apart from the intercept."""
-    from lodestar.operators.models import newton
-
-    d = z.shape[1]
-    if k == 1:
-
-        def step(b):
-            m = z @ b
-            q = 1 / (1 + np.exp(-m))
-            return c @ (np.logaddexp(0, m) - y * m), z.T @ (c * (q - y)), (z * (c * q * (1 - q))[:, None]).T @ z
-
-    else:
-
-        def step(b):
-            s = z @ b.reshape(k, d).T
-            s = s - s.max(1, keepdims=True)
-            e = np.exp(s)
-            q = e / e.sum(1, keepdims=True)
-            h = np.zeros((k, d, k, d))
-            for i in range(k):
-                for j in range(k):
-                    h[i, :, j, :] = (z * (c * q[:, i] * ((i == j) - q[:, j]))[:, None]).T @ z
-            return c @ (np.log(e.sum(1)) - s[np.arange(len(y)), y]), ((q - np.eye(k)[y]) * c[:, None]).T.dot(z).ravel(), h.reshape(k * d, k * d)
-
-    return newton(step, max(k, 1) * d, np.tile(np.concatenate([[0.0], np.ones(d - 1)]), max(k, 1)))
-
-
-def refit_value(x, a, y, pb, pa, c, method: str, binary: bool, fit_propensity: bool, clip: float | None, tau: float) -> tuple[float, float]:
-    """(V_A, V_B) of one weighted resample with its models fitted to it."""
-    x = _standardised(x, c)
-    n, k = c.sum(), pb.shape[1]
-    seen = np.unique(a)
-    v_a = float(c @ y / n)
-    taken = pb[np.arange(len(a)), a]
-    w = taken / pa
-    if fit_propensity and method in WEIGHTED:
-        z = np.hstack([np.ones((len(x), 1)), x])
-        own = np.searchsorted(seen, a)
-        if len(seen) > 1:
-            s = z @ _newton(z, own, c, len(seen)).reshape(len(seen), -1).T
-            e = np.exp(s - s.max(1, keepdims=True))
-            q = np.clip(e / e.sum(1, keepdims=True), 1e-6, 1 - 1e-6)[np.arange(len(a)), own]
-        else:
-            q = np.ones(len(a))
-        w = taken / q
-    v = np.minimum(w, clip) if clip is not None else w
-    if method == "ips":
-        return v_a, float(c @ (v * y) / n)
-    if method == "snips":
-        return v_a, float(c @ (v * y) / (c @ v + 1e-12))
-    z = np.hstack([np.ones((len(x), 1)), x, np.eye(k)[a]])
-    logistic = binary and len(np.unique(y)) == 2
-    if logistic:
-        beta = _newton(z, y, c, 1)
-    else:
-        beta = min_norm((z * c[:, None]).T @ z, z.T @ (c * y))
-    base = z[:, : 1 + x.shape[1]] @ beta[: 1 + x.shape[1]]
-    effects = np.where(np.isin(np.arange(k), seen), beta[1 + x.shape[1] :], 0.0)
-    mu = base[:, None] + effects[None, :]
-    if logistic:
-        mu = np.clip(1 / (1 + np.exp(-mu)), 1e-6, 1 - 1e-6)
-    dm = (pb * mu).sum(1)
-    res = y - mu[np.arange(len(a)), a]
-    total = c @ dm
-    if method == "dm":
-        return v_a, float(total / n)
-    if method == "dr":
-        return v_a, float((total + c @ (v * res)) / n)
-    if method == "sndr":
-        return v_a, float(total / n + c @ (v * res) / n / (c @ v / n + 1e-12))
-    return v_a, float((total + c @ (np.where(w <= tau, w, 0.0) * res)) / n)
-
-
 def compare_policies_multi_target(df, policyB: Policy, targets: Sequence[str], **options) -> dict[str, Comparison]:
     """One comparison per target."""
     if isinstance(df, LoggedBandit):

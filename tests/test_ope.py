@@ -14,11 +14,13 @@ from lodestar.operators import diagnostics as D
 from lodestar.operators import estimators as E
 from lodestar.operators.models import fit_behavior, fit_binary, fit_linear
 from lodestar.operators.nuisance import balanced_folds, fold_column, resolve_propensity
+from lodestar.operators.refit import refit_replicates
 from lodestar.plans import compare as C
 from lodestar.plans.report import analyze_logs, decision_summary, dump_json
 from lodestar.plans.validation import ValidationMode, run_simulation_validation
 from lodestar.sources.synthetic import SynthConfig, SyntheticEnvironment
 from lodestar.streaming.running import finalised, windowed_sums
+from refit_one import refit_value
 
 
 @pytest.fixture(scope="module")
@@ -228,6 +230,40 @@ def test_compare(logs, method, tmp_path):
     assert "Метрика: x" in decision_summary(r, "x")
 
 
+@pytest.mark.parametrize("method, target, estimated", [("dm", "cltv", False), ("dr", "accept", True), ("sndr", "cltv", True), ("switch_dr", "accept", False), ("snips", "accept", True)])
+def test_refitted_replicates_equal_single_fits(spark, logs, method, target, estimated):
+    n_boot = 3
+    rnd = np.random.default_rng(2)
+    pdf = logs.toPandas()
+    space = sorted(pdf["a_A"].unique())
+    k = len(space)
+    x = pdf[["age", "loyal"]].to_numpy(float)
+    x = (x - x.mean(0)) / x.std(0)
+    a, y = np.searchsorted(space, pdf["a_A"]), pdf[target].to_numpy(float)
+    pb, pa_ = rnd.dirichlet(np.ones(k), len(y)), pdf["propensity_A"].to_numpy(float)
+    counts = rnd.poisson(1, (len(y), n_boot))
+    counts[a == 0, 1] = 0  # an action that one replicate doesn't see
+    y[7], counts[7] = np.nan, [0, 0, 1]  # a missing reward that only one replicate draws
+    rows = spark.createDataFrame([(x[i].tolist(), int(a[i]), float(y[i]), pb[i].tolist(), float(pa_[i]), bytes(counts[i].astype(np.uint8))) for i in range(len(y))], "x array<double>, a int, y double, pb array<double>, pa double, counts binary")
+    binary = target == "accept"
+    got = np.stack(refit_replicates(rows, n_boot, k, 2, method, binary, estimated, 5.0, 4.0), 1)
+    assert np.isnan(got[2]).all()
+    for b in range(2):
+        c = counts[:, b] > 0
+        want = refit_value(x[c], a[c], y[c], pb[c], pa_[c], counts[c, b].astype(float), method, binary, estimated, 5.0, 4.0)
+        assert np.allclose(got[b], want, rtol=1e-6, atol=1e-8)
+
+
+def test_refit_at_every_size(logs, monkeypatch):
+    b = P.make_policy("softmax", 6, tau=0.8)
+    run = lambda: C.compare_policies(logs, b, "dm", "cltv", propensity_col="propensity_A", n_boot=4)
+    small = run()
+    monkeypatch.setattr(C, "MAX_REFIT_ROWS", 10, raising=False)  # as if the table were past any former limit
+    monkeypatch.setattr(C, "MAX_REFIT", 10, raising=False)
+    large = run()
+    assert C.FIXED_NUISANCE not in large.info_notes and np.allclose(large.v_b_ci, small.v_b_ci)
+
+
 def test_compare_estimated_and_crossfit(logs):
     b = P.make_policy("softmax", 6, tau=0.8)
     r = C.compare_policies(logs, b, "dr", propensity_source="estimated", with_ci=False)
