@@ -11,6 +11,9 @@ and D V / N for the class of unknown tokens, where D V is the number of tokens s
 0.9). Each state's weights sum to 1. A text is scored in one left-to-right traversal that carries the
 state and sums log10 weights.
 
+The query runs at ``ORDER`` = 2: histories are single words and every failure arc leads to the state
+without history. The operator takes longer orders; their cost at scale was not measured.
+
 The automaton grows with the corpus, so no machine holds it. Its arcs live in buckets of hashed
 n-grams, and each block of texts fetches just the part that its own traversal can touch:
 
