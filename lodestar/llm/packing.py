@@ -13,11 +13,12 @@ up by the executors: the r-th piece of length L goes to the place the plan has f
 The rank r is a per-task counter plus an offset from a cumulative count by (length, task), so no
 length, however common, meets in one task.
 
-Ids are those of the ``tokenizers`` library. Text is cut at single spaces and line feeds between
-non-space characters, where the pre-tokeniser always cuts, and the ids of a chunk are looked up in a
-bounded cache. A chunk of ASCII and Latin letters not yet cached is encoded by ``tiktoken`` over the
-same vocabulary, whose ids are the same; any other chunk, and any text with adjoining white space, by
-``tokenizers`` itself.
+Ids are those of the ``tokenizers`` library. A text of ASCII, Latin letters and plain white space is
+encoded by ``tiktoken`` over the same vocabulary, whose ids are the same (tests hold one against the
+other). Any other text is cut at line feeds between non-space characters, where the pre-tokeniser
+always cuts, and lines that ``tiktoken`` can't take, or the whole text where white space adjoins, go to
+``tokenizers`` itself; so do words and runs of white space of over ``LONGEST_RUN`` characters, on which
+``tiktoken`` takes quadratic time. Nothing but the vocabulary is kept between texts.
 
 Edge cases: null text counts as empty and yields one piece of the closing id. Repeated ids and rows
 each yield their own pieces. An empty table yields no rows. A null id stays null.
@@ -38,11 +39,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.llm.blocks import persisted, table
+from lodestar.llm.blocks import persisted, released, slices, table
 
 CAPACITY = 1024
 END_ID = 2
-CACHE_CHUNKS = 400_000
+LONGEST_RUN = 999
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -63,8 +64,11 @@ class Encoder:
     """Text to little-endian uint32 ids, without special tokens; their strings are ordinary text."""
 
     _ADJOINING = re.compile(r"\s\s|^\s|\s$")
-    _SIMPLE = re.compile(r" ?[\x21-\x7eÀ-ÖØ-öø-ɏ]+")
     _OTHER_SPACE = re.compile(r"[^\S \n]")
+    _RUN = f"[!-~À-ÖØ-öø-ɏ]{{0,{LONGEST_RUN}}}+"
+    _SIMPLE = re.compile(f"(?:{_RUN}[ \\t\\n\\r]{{1,{LONGEST_RUN}}}+)*+{_RUN}")
+    #: The pre-tokeniser's pattern, a fixed value of byte-level vocabularies.
+    _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -82,33 +86,26 @@ class Encoder:
         special = set(self.whole.get_added_tokens_decoder())
         self.fast = None
         if ids == sorted(ids) and len(set(ids)) == len(ids):  # the ids order the merges, so ranks may stand for them
-            self.fast = tiktoken.Encoding("chunks", pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks={k: v for k, v in ranks.items() if v not in special}, special_tokens={})
-        self.cache: dict[str, bytes] = {}
-
-    def _chunk(self, chunk: str) -> bytes:
-        if len(self.cache) >= CACHE_CHUNKS:
-            self.cache.clear()
-        if self.fast and self._SIMPLE.fullmatch(chunk):
-            ids = self.fast.encode_ordinary(chunk)
-        else:
-            ids = self.whole.encode(chunk, add_special_tokens=False).ids
-        out = self.cache[chunk] = np.array(ids, "<u4").tobytes()
-        return out
+            mergeable = {k: v for k, v in ranks.items() if v not in special}
+            self.fast = tiktoken.Encoding("texts", pat_str=self._SPLIT, mergeable_ranks=mergeable, special_tokens={})
+
+    def _run(self, text: str) -> list[int]:
+        if self.fast and self._SIMPLE.fullmatch(text):
+            return self.fast.encode_ordinary(text)
+        return self.whole.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self._ADJOINING.search(text) or self._OTHER_SPACE.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        get, miss, out = self.cache.get, self._chunk, []
-        for k, line in enumerate(text.split("\n")):
-            words = line.replace(" ", "\0 ").split("\0") if "\0" not in line else None
-            if words is None:
-                return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            if k:
-                out.append(get("\n") or miss("\n"))
-            out += [get(w) or miss(w) for w in words]
-        return b"".join(out)
+        if self.fast and self._SIMPLE.fullmatch(text):
+            ids = self.fast.encode_ordinary(text)
+        elif self._ADJOINING.search(text) or self._OTHER_SPACE.search(text):
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+        else:
+            feed, ids = self._run("\n"), []
+            for k, line in enumerate(text.split("\n")):
+                ids += (feed if k else []) + self._run(line)
+        return np.array(ids, "<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -129,8 +126,7 @@ def _cut(path: str, capacity: int, end_id: int, keep_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task, used = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, "text"):
                 rows: dict[str, list] = {c: [] for c in ("task", "seq", "doc_id", "piece", "start", "length", "ids_crc32")}
                 ids: list[bytes] = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
@@ -209,15 +205,17 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """One row per piece: its place in its document and in a sequence, with ``ids`` (binary, little-endian
     uint32) if keep_ids."""
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    pieces = persisted(source.mapInArrow(_cut(path, capacity, end_id, keep_ids), PIECES + (", ids binary" if keep_ids else "")), "pieces")
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    more = ", ids binary" if keep_ids else ""
+    pieces = persisted(source.mapInArrow(released(_cut(path, capacity, end_id, keep_ids)), PIECES + more), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     planned = plan(histogram, capacity)
     before = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     offsets = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     ranked = pieces.join(offsets, ["length", "task"]).withColumn("rank", F.col("before") + F.col("seq"))
-    return ranked.mapInArrow(_place(planned), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + (", ids binary" if keep_ids else ""))
+    placed = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    return ranked.mapInArrow(released(_place(planned)), placed + more)
 
 
 def _place(planned: list[tuple[int, int, int, int, int, int]]):
