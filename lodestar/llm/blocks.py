@@ -7,17 +7,22 @@ match needs two different byte strings with one hash, which for 10^12 words stay
 document.
 
 Memory is bounded by slicing: :func:`slices` cuts an Arrow batch into runs of at most
-``SLICE_BYTES`` of text (one longer document makes a run by itself), and :func:`hash_words` works in
-segments of that size even inside one document.
+``SLICE_BYTES`` of text (one longer document makes a run by itself), and :meth:`Words.hashes` works in
+segments of that size even inside one document. Python workers are reused by later stages, so what a
+task leaves behind would add up: functions handed to Spark are wrapped by :func:`released`, which
+gives caches and freed memory back when the task's input ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +75,34 @@ class _Powers:
 _POWERS = _Powers()
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    """The C library's call that returns freed memory to the system, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory of this process back, and the powers of the hash base."""
+    _POWERS.__init__()
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def released(work: Callable[[Iterator], Iterator], *also: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """A function for ``mapInArrow`` that ends with :func:`release` (after what else is to be called)."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            for call in also:
+                call()
+            release()
+
+    return run
+
+
 class Words:
     """Words of an Arrow string column.
 
@@ -159,22 +192,46 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``, else the one set by ``setCheckpointDir``.
+
+    Where neither is set and all of Spark is one local process (tests), it is a temporary folder of this
+    machine, removed at exit; on a cluster that would lose rows, so there it is an error."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         atexit.register(shutil.rmtree, folder[7:], True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def persisted(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage and survives lost executors."""
+    """df written to the shared folder and read again: cuts lineage and survives lost executors.
+
+    The table goes when the application ends, or with :func:`discard`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("error").option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    where, system = _path(spark, path)
+    system.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`persisted` wrote and that nothing reads any more."""
+    for df in tables:
+        where, system = _path(df.sparkSession, df.written)
+        system.delete(where, True)
 
 
 def by_ids(rows: DataFrame, ids: DataFrame, how: str, most: int = BROADCAST_IDS) -> DataFrame:

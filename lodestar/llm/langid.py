@@ -1,11 +1,12 @@
 """Language identification by interpolated Kneser-Ney character models in sorted hash arrays.
 
 One model per language, of order 4, over letter words with a start and an end mark. The models are
-fitted on a bounded sample: at most about ``SAMPLE_ROWS`` training rows of a language, chosen by the
-hash of their id among all its rows, whatever their length. Of a drawn text of more than
-``SAMPLE_BYTES``, words from all over it, chosen by the hash of their place, stand for the whole, up to
-``SAMPLE_BYTES``; shorter ones are taken whole. So the arrays have a bounded size and may be sent to
-every task; languages, texts and counts themselves are never sampled when predicting.
+fitted on a bounded sample: about ``SAMPLE_ROWS`` training rows of a language, whatever their length,
+chosen by a hash of id, language and text among all its rows (rows equal in these are one), fewer of
+each where there are more than ``TOTAL_ROWS / SAMPLE_ROWS`` languages, and at least one. Of a drawn text
+of more than ``SAMPLE_BYTES``, words from all over it, chosen by the hash of their place, stand for the
+whole, up to ``SAMPLE_BYTES``; shorter ones are taken whole. So the arrays have a bounded size and may be
+sent to every task; languages, texts and counts themselves are never sampled when predicting.
 
 All n-grams that any language has seen stand in one sorted array of hashes per order, with a row of
 interpolated log-probabilities, one per language, and one array of contexts with their log back-off
@@ -31,11 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.blocks import _MULT, fold, mix, slices, table
+from lodestar.llm.blocks import _MULT, BROADCAST_IDS, fold, mix, persisted, released, slices, table
 from lodestar.llm.letters import LetterWords
 
 ORDER = 4
 SAMPLE_ROWS = 400
+TOTAL_ROWS = 40_000
+#: Places times languages that are scored at a time.
+SCORES_AT_A_TIME = 1 << 22
 SAMPLE_BYTES = 16_384
 #: Where words are chosen from a long text, runs of more letters than this (scripts without spaces) count as several words.
 LONGEST_WORD = 256
@@ -161,14 +165,18 @@ class CharModels:
         total = np.zeros((len(words), len(self.languages)))
         letters = np.zeros(len(words), np.int64)
         if len(first):
-            grams = Grams(words, first)
-            by_word = np.zeros((len(first), len(self.languages)))
-            log_p = self.log_probabilities(grams)
-            for i in range(len(self.languages)):
-                by_word[:, i] = np.bincount(grams.word, log_p[:, i], len(first))
             rows = words.rows()
-            for i in range(len(self.languages)):
-                total[:, i] = np.bincount(rows, by_word[index, i], len(words))
+            places = np.cumsum(words.end[first] - words.start[first] + 2)
+            cuts = np.searchsorted(places, np.arange(1, places[-1] * len(self.languages) // SCORES_AT_A_TIME + 1) * (SCORES_AT_A_TIME // len(self.languages)))
+            for a, b in zip([0, *cuts], [*cuts, len(first)]):
+                if a == b:
+                    continue
+                grams = Grams(words, first[a:b])
+                log_p = self.log_probabilities(grams)
+                own = (index >= a) & (index < b) if b - a < len(first) else slice(None)
+                for i in range(len(self.languages)):
+                    by_word = np.bincount(grams.word, log_p[:, i], b - a)
+                    total[:, i] += np.bincount(rows[own], by_word[index[own] - a], len(words))
             letters = np.bincount(rows, words.end - words.start, len(words)).astype(np.int64)
         n = letters + words.counts
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -220,18 +228,24 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"i": part.column("i"), "l": part.column("l"), "t": pa.array(texts, pa.string())})
 
 
+def sampled(usable: DataFrame, rows: int = SAMPLE_ROWS, total_rows: int = TOTAL_ROWS) -> DataFrame:
+    """About ``rows`` of the rows (i, l, t) of each value of l; rows equal in all three count once."""
+    counts = persisted(usable.groupBy("l").agg(F.count(F.lit(1)).alias("n")), "languages")
+    languages = counts.count()
+    each = max(1, min(rows, total_rows // max(1, languages)))
+    draw = F.xxhash64(F.lit("sample"), "i", "l", "t")
+    share = F.pmod(draw, F.lit(1 << 30)) / float(1 << 30) < each / F.col("n")
+    drawn = usable.join(F.broadcast(counts) if languages <= BROADCAST_IDS else counts, "l").filter(share | (F.col("n") <= each))
+    thin = drawn.select("i", "l", "t").mapInArrow(released(_thin), usable.schema)
+    # a row that is repeated is drawn with all its copies: one stands for them
+    return thin.dropDuplicates(["i", "l", "t"])
+
+
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> CharModels:
     """Models of every language among the training rows, from a sample of about ``rows`` of each, of at most ``SAMPLE_BYTES`` a row."""
-    usable = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("l"))
-    counts = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
-    if not counts:
-        return CharModels({})
-    share = F.lit(0.0)
-    for language, n in counts.items():
-        share = F.when(F.col("l") == language, F.lit(min(1.0, rows / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "i"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = usable.filter(draw < share).select("i", "l", "t")
-    sample = drawn.mapInArrow(_thin, drawn.schema).toPandas().sort_values(["l", "i"], kind="stable")
+    known = train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
+    usable = docs.filter(known).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).cast("string").alias("t"))
+    sample = sampled(usable, rows).toPandas().sort_values(["l", "i", "t"], kind="stable")
     fitted: dict[str, list[str]] = {}
     kept: dict[str, list[str]] = {}
     for n, (language, text) in enumerate(zip(sample["l"], sample["t"])):
@@ -243,12 +257,13 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     return models
 
 
-def _predict(models: CharModels, carry: list[str]):
+def _predict(models: CharModels, carry: list[str], text: str):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
-                language, score, entropy, rejected = models.predict(part.column("__text"))
-                yield pa.RecordBatch.from_pydict({c: part.column(c) for c in carry} | {"lang_pred": pa.array(language, pa.string()), "score": pa.array(score), "cross_entropy": pa.array(entropy), "rejected": pa.array(rejected)})
+            for part in slices(batch, text):
+                language, score, entropy, rejected = models.predict(part.column(text))
+                found = {"lang_pred": pa.array(language, pa.string()), "score": pa.array(score), "cross_entropy": pa.array(entropy), "rejected": pa.array(rejected)}
+                yield pa.RecordBatch.from_pydict({c: part.column(c) for c in carry} | found)
 
     return predict
 
@@ -257,9 +272,15 @@ def identify(docs: DataFrame, models: CharModels, text_col: str = "text", carry:
     """The carried columns (default: all) of every row with lang_pred, score, cross_entropy and rejected."""
     carry = docs.columns if carry is None else carry
     names = [f"__c{i}" for i in range(len(carry))]
-    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    columns = [F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)]
+    if text_col in carry and docs.schema[text_col].dataType.simpleString() == "string":
+        text = names[carry.index(text_col)]  # carried anyway: sent once
+    else:
+        text = "__text"
+        columns.append(F.col(f"`{text_col}`").cast("string").alias(text))
+    source = docs.select(*columns)
     schema = ", ".join([*[f"{n} {source.schema[n].dataType.simpleString()}" for n in names], "lang_pred string, score double, cross_entropy double, rejected boolean"])
-    out = source.mapInArrow(_predict(models, names), schema)
+    out = source.mapInArrow(released(_predict(models, names, text)), schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], "lang_pred", "score", "cross_entropy", "rejected")
 
 

@@ -29,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.blocks import Words, mix, slices, table
+from lodestar.llm.blocks import Words, mix, released, slices, table
 
 WINDOW = 8
+PART_BYTES = 1 << 18
 #: Phrases of page furniture and licence headers, lower case.
 BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "click here", "sign up for", "subscribe to our", "enable javascript", "powered by", "skip to content", "back to top")
 RULES = ("navigation", "symbols", "shouting", "repetition", "unpunctuated", "boilerplate")
@@ -108,10 +109,10 @@ def repeated_words(words: Words) -> np.ndarray:
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lost_words long, " + ", ".join(f"lines_{r} long" for r in RULES) + ", base_failed boolean, kept boolean"
 
 
-def _judge(min_words: int, max_repeat_pct: int, max_lost_pct: int, carry: list[str], text: str, cleaned: str | None):
+def _judge(min_words: int, max_repeat_pct: int, max_lost_pct: int, carry: list[str], cleaned: str | None):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", PART_BYTES):
                 words = Words(part.column("__text"))
                 n = words.counts
                 repeat = repeated_words(words)
@@ -145,7 +146,8 @@ def judge_documents(df: DataFrame, text: str = "text", carry: list[str] | None =
     names = [f"__c{i}" for i in range(len(carry))]
     kinds = [source.schema[c].dataType.simpleString() for c in names]
     schema = ", ".join([*[f"{c} {k}" for c, k in zip(names, kinds)], SCHEMA, *(["__cleaned string"] if cleaned else [])])
-    out = source.mapInArrow(_judge(min_words, max_repeat_pct, max_lost_pct, names, text, "__cleaned" if cleaned else None), schema)
+    work = _judge(min_words, max_repeat_pct, max_lost_pct, names, "__cleaned" if cleaned else None)
+    out = source.mapInArrow(released(work), schema)
     renamed = dict(zip(names, carry)) | ({"__cleaned": cleaned} if cleaned else {})
     return out.select(*[F.col(c).alias(renamed.get(c, c)) for c in out.columns])
 
