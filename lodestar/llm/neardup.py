@@ -12,22 +12,27 @@ graph are the groups.
    class goes on, so copies never meet in a bucket.
 3. *Bands.* 32 bands of 4 values: a pair at 0.75 shares at least one with probability 1 - 5e-6.
    Within a bucket every class is paired with the bucket's smallest member (a star, not all pairs).
-4. *Verification.* Candidate pairs are confirmed on full shingle sets, rebuilt from whole texts of
-   just the classes that occur in a pair.
+4. *Verification.* Pairs whose sizes or signatures can't reach the limit go first (``LEAST_EQUAL``); the
+   others are confirmed on full shingle sets, rebuilt from whole texts of just the classes they name.
 5. *Union-find.* Components by alternating large-star and small-star hooking on the link table.
-6. *Cross pairs.* A star proves too little where a bucket's members stay in different components:
-   there members of different components are compared by signature, in blocks of bounded size, and
-   those whose estimate is not far below the limit on their sets, until the components of the block
-   are one. Only confirmed links leave the task. So every pair that shares a bucket is either in one
-   component or refuted.
+6. *Cross pairs.* A star proves too little where a bucket's members stay in different components.
+   There members are gathered in blocks of about ``BLOCK`` signatures, and blocks are compared two by two:
+   the most alike partner of each member is verified like the pairs above. Members that after this still
+   have a partner in another component whose signature can reach the limit are gathered in blocks of
+   about ``SET_BYTES`` of full sets, and every such pair of two blocks is confirmed or refuted in one
+   task, by an index over the rarest shingles of each set (a quarter and one: sets that reach the limit
+   share one of these). Only confirmed links leave it, so nothing grows with the square of a bucket but
+   the copies of its blocks: m / BLOCK of each signature, and 8 n / SET_BYTES of each set.
 
 Hot groups: aggregates combine before the shuffle; joins are plain sort-merge joins that adaptive
 execution may split; no bucket, class or component is gathered in a task. All intermediate results
-that are read twice are tables in the shared folder. Nothing but row counts reaches the driver.
+that are read twice are tables in the shared folder, deleted once they are spent. Nothing but row
+counts reaches the driver.
 
 Edge cases: null, empty or blank texts have no shingles, link to nothing and are their own component.
-Rows that repeat an id are one document with several texts: its links are those of any of them.
-Rows without an id take no part, are kept, and have a null component. Empty tables give no rows.
+Rows that repeat an id are one document with several texts: the classes of its texts are linked to each
+other, so all its rows share a component. Rows without an id take no part, are kept, and have a null
+component. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -39,15 +44,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.blocks import _MULT, Words, by_ids, mix, persisted, slices, table
+from lodestar.llm.blocks import _MULT, Words, by_ids, discard, mix, persisted, released, slices, table
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
 SIZE = BANDS * ROWS
 PERCENT = 75
-BLOCK = 1024
-#: A pair at the limit has fewer equal values than this with probability below 1e-8.
-LEAST_EQUAL = 62
+BLOCK = 4096
+SET_BYTES = 8 << 20
+#: A pair at the limit has fewer equal values than this with probability below 1e-8 (binomial; SuperMinHash varies less).
+LEAST_EQUAL = 67
+#: Bytes of signatures that are compared at a time.
+COMPARED = 1 << 22
 
 _C = np.uint64(0x9E3779B97F4A7C15)
 _S32 = np.uint64(32)
@@ -146,34 +154,51 @@ def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
 def _confirm(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            linked = [i for i in range(batch.num_rows) if similar(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), percent)]
-            keep = pa.array(linked, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
+            sets = [[np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("x", "y")]
+            keep = pa.array([i for i, (x, y) in enumerate(zip(*sets)) if similar(x, y, percent)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], names=["a", "b"])
 
     return confirm
 
 
-def shingle_table(needed: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, shingles) of the documents whose ids are needed."""
-    return persisted(by_ids(docs, needed, "left_semi").select("doc_id", "text").mapInArrow(_sets, "node long, shingles binary"), "sets")
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIZE)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets reach the limit."""
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        equal = (_signatures(batch.column("a_sig")) == _signatures(batch.column("b_sig"))).sum(1)
+        keep = pa.array(np.flatnonzero(equal >= LEAST_EQUAL))
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], names=["a", "b"])
+
+
+def likely(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sizes and signatures (node, n, sig) can reach the limit."""
+    joined = pairs.join(signed.toDF("a", "a_n", "a_sig"), "a").join(signed.toDF("b", "b_n", "b_sig"), "b")
+    near = joined.filter(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    return near.select("a", "b", "a_sig", "b_sig").mapInArrow(released(_likely), "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of ids whose full shingle sets reach the limit; pairs is a written table."""
+    sets = shingle_sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
     joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return persisted(joined.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "links")
+    links = persisted(joined.select("a", "b", "x", "y").mapInArrow(released(_confirm(percent)), "a long, b long"), "links")
+    discard(sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node of the links (a, b); component: its smallest node."""
+    """(node, component) of every node of the links (a, b), a written table; component: its smallest node."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges = persisted(edges, "edges")
     state = None
     while True:
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == state or not now["n"]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+            named = persisted(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct()), "components")
+            discard(edges)
+            return named
         state = now
         both = edges.union(edges.select("v", "u"))
         lowest = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -181,91 +206,184 @@ def components(links: DataFrame) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         hooked = large.join(lowest, "u")
         small = hooked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", "m"))
-        edges = persisted(small.distinct(), "edges")
-
-
-def _cross(percent: int):
-    """Links between different components within each (key, i, j) run of a sorted partition."""
-
-    def links(key: int, run: list[tuple]) -> list[tuple[int, int]]:
-        if len(run) < 2:
-            return []
-        root: dict[int, int] = {}
-
-        def find(c: int) -> int:
-            while c in root:
-                c = root[c]
-            return c
-
-        node, comp, block = (np.array([r[k] for r in run]) for k in range(3))
-        bands = np.array([r[3] for r in run], np.int64)
-        sets = [np.frombuffer(r[4], np.uint64) for r in run]
-        size = np.array([len(x) for x in sets])
-        sig = np.frombuffer(b"".join(r[5] for r in run), np.uint8).reshape(len(run), -1)
-        band = int(np.flatnonzero(bands[0] == key)[0])
-        parted = len({*block.tolist()}) > 1
-        found = []
-        for x in range(len(run) - 1):
-            y = np.arange(x + 1, len(run))
-            y = y[(comp[y] != comp[x]) & ((block[y] != block[x]) | (not parted))]
-            y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
-            y = y[(sig[y] == sig[x]).sum(1) >= LEAST_EQUAL]
-            y = y[(bands[y] == bands[x]).argmax(1) == band]  # else an earlier band's bucket has the pair
-            for k in y.tolist():
-                p, q = find(int(comp[x])), find(int(comp[k]))
-                if p != q and similar(sets[x], sets[k], percent):
-                    root[max(p, q)] = min(p, q)
-                    found.append((int(max(node[x], node[k])), int(min(node[x], node[k]))))
-        return found
-
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, at = [], None
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        before, edges = edges, persisted(small.distinct(), "edges")
+        discard(before)
+
+
+class _Members:
+    """Members (node, component, n, payload) of one block; the payload is a signature or a set."""
+
+    def __init__(self, members: pa.StructArray) -> None:
+        self.node, self.component, self.n = (members.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        self.payload = members.field(3)
+
+
+def plausible(x: _Members, y: _Members, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(members of x, members of y, equal values) of pairs of different components that can reach the limit, in parts."""
+    a, b = _signatures(x.payload), _signatures(y.payload)
+    strip = max(1, COMPARED // (8 * len(b)))
+    for at in range(0, len(a), strip):
+        part = slice(at, at + strip)
+        n, m = x.n[part, None], y.n[None]
+        can = (x.component[part, None] != y.component) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        if x is y:
+            can &= np.arange(len(a))[part, None] < np.arange(len(b))
+        i, j = np.nonzero(can)
+        for k in range(0, len(i), COMPARED // SIZE):
+            p, q = i[k : k + COMPARED // SIZE] + at, j[k : k + COMPARED // SIZE]
+            equal = (a[p] == b[q]).sum(1)
+            near = equal >= LEAST_EQUAL
+            yield p[near], q[near], equal[near]
+
+
+def partners(x: _Members, y: _Members, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most alike plausible pair of each member."""
+    top = [(np.zeros(len(m.node), np.int64), np.zeros(len(m.node), np.int64)) for m in (x, y)]  # equal values, the other
+    for p, q, equal in plausible(x, y, percent):
+        for (most, other), own, to in ((top[0], p, q), (top[1], q, p)):
+            np.maximum.at(most, own, equal)
+            best = equal == most[own]
+            other[own[best]] = to[best]
+    i, j = (np.flatnonzero(most) for most, _ in top)
+    a, b = np.concatenate([x.node[i], x.node[top[1][1][j]]]), np.concatenate([y.node[top[0][1][i]], y.node[j]])
+    return np.maximum(a, b), np.minimum(a, b)
+
+
+def unsettled(x: _Members, y: _Members, percent: int) -> np.ndarray:
+    """Members with a plausible pair."""
+    open_ = [np.zeros(len(m.node), bool) for m in (x, y)]
+    for p, q, _ in plausible(x, y, percent):
+        open_[0][p] = open_[1][q] = True
+    return np.unique(np.concatenate([x.node[open_[0]], y.node[open_[1]]]))
+
+
+def settle(x: _Members, y: _Members, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Confirmed links that join the components of the members: pairs of x and y that aren't joined by them are refuted."""
+    parts = [x] if x is y else [x, y]
+    node, component = (np.concatenate([getattr(m, c) for m in parts]) for c in ("node", "component"))
+    sets = [np.frombuffer(v.as_buffer(), np.uint64) for m in parts for v in m.payload]
+    side = np.repeat(np.arange(len(parts)), [len(m.node) for m in parts])
+    names, root = np.unique(component, return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, index, often = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.lexsort((index, often[index], row))  # rarest first; the order is one for all sets
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    lead = order[place < np.repeat(size + 1 + (-percent * size // 100), size)]  # size - ceil(limit * size) + 1
+    lead = lead[np.argsort(index[lead], kind="stable")]
+    term, holder = index[lead], row[lead]
+    from_, to = np.searchsorted(term, term, "left"), np.searchsorted(term, term, "right")
+    by_row = np.argsort(holder, kind="stable")
+    cut = np.searchsorted(holder[by_row], np.arange(len(sets) + 1))
+    found = []
+    for i in range(len(sets)):
+        own = by_row[cut[i] : cut[i + 1]]
+        if not len(own):
+            continue
+        near = np.unique(np.concatenate([holder[from_[k] : to[k]] for k in own.tolist()]))
+        near = near[(near > i) & (root[near] != root[i]) & ((side[near] != side[i]) | (len(parts) == 1))]
+        near = near[100 * np.minimum(size[near], size[i]) >= percent * np.maximum(size[near], size[i])]
+        for k in near.tolist():
+            if root[k] != root[i] and similar(sets[i], sets[k], percent):
+                root[root == root[k]] = root[i]
+                found.append((max(node[i], node[k]), min(node[i], node[k])))
+    a, b = zip(*found) if found else ((), ())
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _by_cell(work, names: list[str], keyed: bool = False):
+    """work(x, y) for each (key, i, j) run of a sorted partition, which is one block or two; its arrays are the columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, at = None, None
         for batch in batches:
-            out = []
-            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "component", "block", "bands", "shingles", "sig"))):
-                if (key, i, j) != at:
-                    out += links(at[0], run) if at else []
-                    run, at = [], (key, i, j)
-                run.append(tuple(row))
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], schema=schema)
-        if at:
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links(at[0], run)], schema=schema)
-
-    return cross
+            for row, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")))):
+                here = _Members(batch.column("members")[row].values)
+                if key[1] == key[2] or key == at:
+                    out = work(here if key[1] == key[2] else before, here)
+                    columns = (np.full(len(out), key[0]), out) if keyed else out
+                    if len(columns[0]):
+                        yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(names, columns)})
+                before, at = here, key
+
+    return run
+
+
+def cells(rows: DataFrame, weight: F.Column, most: int) -> DataFrame:
+    """Rows (key, node, component, n, payload) in blocks of a key that weigh about ``most``, and each two blocks of a key side by side."""
+    blocks = rows.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum(weight) / most)).cast("int").alias("blocks"))
+    placed = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    gathered = placed.groupBy("key", "block").agg(F.collect_list(F.struct("node", "component", "n", "payload")).alias("members"), F.first("blocks").alias("blocks"))
+    paired = gathered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "members")
+    return paired.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def in_mixed_buckets(members: DataFrame, signed: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(key, node, component, n, payload) of the members of buckets that hold several components; the payload is the signature."""
+    placed = members.select("key", "node").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
+    rows = placed.join(mixed.filter("low < high AND size > 2").select("key"), "key").join(signed, "node")
+    return rows.select("key", "node", "component", "n", F.col("sig").alias("payload"))
+
+
+def shingle_sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles) of the documents whose ids (doc_id) are named, from their whole texts."""
+    texts = by_ids(docs, nodes, "left_semi").select("doc_id", "text")
+    return persisted(texts.mapInArrow(released(_sets), "node long, shingles binary"), "sets")
+
+
+def settled(members: DataFrame, signed: DataFrame, grouped: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links between the components of members that share a bucket: what these don't join is refuted."""
+    by_signature = cells(in_mixed_buckets(members, signed, grouped), F.lit(1), BLOCK)
+    left = by_signature.mapInArrow(released(_by_cell(lambda x, y: unsettled(x, y, percent), ["key", "node"], True)), "key long, node long")
+    left = persisted(left.distinct(), "unsettled")
+    sets = shingle_sets_of(left.select(F.col("node").alias("doc_id")).distinct(), docs)
+    rows = left.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sets, "node")
+    rows = rows.select("key", "node", "component", (F.octet_length("shingles") / 8).cast("long").alias("n"), F.col("shingles").alias("payload"))
+    found = cells(rows, 8 * F.col("n"), SET_BYTES).mapInArrow(released(_by_cell(lambda x, y: settle(x, y, percent), ["a", "b"])), "a long, b long")
+    links = persisted(found.distinct(), "settled")
+    discard(left, sets)
+    return links
+
+
+def links_of_ids(some: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of ids that have several texts."""
+    several = some.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("doc_id")
+    rows = by_ids(some.select("doc_id", "h1", "h2"), several, "left_semi").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("doc_id", "node")
+    lowest = rows.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return rows.join(lowest, "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of documents."""
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = persisted(docs.mapInArrow(_profile, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary"), "profile")
+    docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    profile = persisted(docs.mapInArrow(released(_profile), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary"), "profile")
     some = profile.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("p"))
     classes = persisted(classes.select("h1", "h2", "node", F.col("n_shingles").alias("n"), "p.bands", "p.sig"), "classes")
+    signed = classes.select("node", "n", "sig")
     banded = classes.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
     members = persisted(banded.join(shared, "key"), "members")
-    sets = shingle_table(members.select(F.col("node").alias("doc_id")).distinct(), docs)  # of every class that shares a bucket
-    links = verified(members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets, percent)
-    grouped = persisted(components(links), "components")
-
-    placed = members.join(grouped, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
-    mixed = mixed.filter("low < high AND members > 2").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "block")
-    rows = persisted(rows, "mixed")
-    if not rows.isEmpty():
-        rows = rows.join(classes.select("node", "bands", "sig"), "node").join(sets, "node")
-        rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        more = persisted(rows.mapInArrow(_cross(percent), "a long, b long"), "cross")
+    stars = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = persisted(likely(stars, signed, percent), "pairs")
+    links = persisted(verified(pairs, docs, percent).union(links_of_ids(some, classes)), "links")
+    grouped = components(links)
+    by_signature = cells(in_mixed_buckets(members, signed, grouped), F.lit(1), BLOCK)
+    pairs = by_signature.mapInArrow(released(_by_cell(lambda x, y: partners(x, y, percent), ["a", "b"])), "a long, b long")
+    pairs = persisted(pairs.distinct(), "partners")
+    if not pairs.isEmpty():  # else no pair of two components can reach the limit
+        links = persisted(links.union(verified(pairs, docs, percent)), "links")
+        grouped = components(links)
+        more = settled(members, signed, grouped, docs, percent)
         if not more.isEmpty():
-            grouped = persisted(components(links.union(more)), "components")
+            grouped = components(links.union(more))
+    discard(members, pairs)
 
     # a component's name is its smallest node, and a node is the smallest id of its class
     named = classes.join(grouped, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
-    out = profile.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
+    out = profile.select("doc_id", "n_shingles", "h1", "h2").join(named.distinct(), ["h1", "h2"], "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -224,14 +224,61 @@ def test_near_duplicates(spark, docs, texts):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_cross_pairs_beside_a_star():
-    """Members of one bucket that a star leaves in different components are linked."""
+def members(rows):
+    kind = pa.struct([("node", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("payload", pa.binary())])
+    return neardup._Members(pa.array(rows, kind))
+
+
+def test_plausible_pairs_beside_a_star():
+    """Members of one bucket that a star leaves in different components are paired by their signatures."""
     rnd = np.random.default_rng(2)
-    common = np.sort(rnd.integers(1, 1 << 60, 100, dtype=np.uint64))
-    mixed = [np.sort(np.concatenate([common[:95], rnd.integers(1, 1 << 60, 5, dtype=np.uint64)])) for _ in range(3)]
-    rows = [{"key": 7, "i": 0, "j": 0, "node": n, "component": n, "block": 0, "bands": [7] * 32, "shingles": s.tobytes(), "sig": bytes(128)} for n, s in enumerate(mixed)]
-    out = pa.Table.from_batches(list(neardup._cross(75)(iter([pa.RecordBatch.from_pylist(rows)])))).to_pylist()
-    assert len(out) == 2
+    common = rnd.integers(0, 256, neardup.SIZE).astype(np.uint8)
+    rows = []
+    for k in range(6):
+        sig = common.copy()
+        sig[rnd.choice(neardup.SIZE, 20, replace=False)] = rnd.integers(0, 256, 20)
+        rows.append({"node": k, "component": k // 2, "n": 100 if k < 5 else 200, "payload": sig.tobytes()})
+    every = {(a, b) for a in range(5) for b in range(a) if a // 2 != b // 2}
+    whole, low, high = members(rows), members(rows[:3]), members(rows[3:])
+    found = {(int(x.node[i]), int(y.node[j])) for x, y in ((whole, whole), (low, high)) for p, q, _ in neardup.plausible(x, y, 75) for i, j in zip(p, q)}
+    assert {(max(p), min(p)) for p in found} == every
+    best = set(zip(*(v.tolist() for v in neardup.partners(whole, whole, 75))))
+    assert best < every and {n for p in best for n in p} == set(range(5))
+    assert neardup.unsettled(low, high, 75).tolist() == [0, 1, 2, 3, 4]
+
+
+def test_blocks_are_settled_exactly():
+    rnd = np.random.default_rng(6)
+    for _ in range(40):
+        base = [rnd.integers(1, 1 << 60, 40, dtype=np.uint64) for _ in range(3)]
+        sets = []
+        for k in range(24):
+            s = base[k % 3].copy()
+            s[rnd.choice(40, rnd.integers(0, 9), replace=False)] = rnd.integers(1, 1 << 60, 1, dtype=np.uint64)
+            sets.append(np.unique(s[: rnd.integers(30, 41)]))
+        rows = [{"node": k, "component": k if k % 5 else 0, "n": len(s), "payload": s.tobytes()} for k, s in enumerate(sets)]
+
+        def groups(links):
+            root = {r["node"]: r["component"] for r in rows}
+            for a, b in links:
+                root = {n: (min(root[a], root[b]) if c in (root[a], root[b]) else c) for n, c in root.items()}
+            return root
+
+        true = [(a, b) for a, b in itertools.combinations(range(24), 2) if neardup.similar(sets[a], sets[b], 75)]
+        whole, low, high = members(rows), members(rows[:9]), members(rows[9:])
+        assert groups(zip(*neardup.settle(whole, whole, 75))) == groups(true)
+        both = [p for x, y in ((low, low), (low, high), (high, high)) for p in zip(*neardup.settle(x, y, 75))]
+        assert groups(both) == groups(true) and set(both) <= {(max(p), min(p)) for p in true}
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    x, y, z = ("x " * 9 + "one two three four", "alpha beta gamma delta epsilon zeta", "a b c d e f g")
+    rows = [(100, x), (300, x), (300, y), (400, y), (500, z), (500, z), (600, ""), (600, z), (700, None)]
+    got = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["n_shingles"] > 0): (r["component_id"], r["kept"]) for r in neardup.near_duplicates(got).collect()}
+    assert {found[(i, True)] for i in (100, 300, 400)} == {(100, True), (100, False)} and found[(100, True)][1]
+    assert found[(500, True)] == (500, True) and found[(600, True)] == (500, False)
+    assert found[(600, False)] == (600, True) and found[(700, False)] == (700, True)
 
 
 def test_super_minhash_estimates():
