@@ -292,11 +292,11 @@ def test_super_minhash_estimates():
     assert len(set(sig[2].tolist())) == 128 and (sig[3] == np.uint64(0xFFFFFFFFFFFFFFFF)).all()
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_backoff_automaton(spark, docs, order):
+@pytest.mark.parametrize("order,fan_in", [(1, 4096), (2, 4096), (3, 3)])
+def test_backoff_automaton(spark, docs, order, fan_in):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None]
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7, F.lit(0)) == 2
-    got = {r["doc_id"]: r for r in ngram_lm.score_texts(docs, held=held, order=order, block_bytes=2000).collect()}
+    got = {r["doc_id"]: r for r in ngram_lm.score_texts(docs, held=held, order=order, block_bytes=2000, fan_in=fan_in).collect()}
     tokens = {i: (t or "").encode().translate(LOW).split() + ["</s>"] for i, t in rows}
     orphan = "orphan text of unknown id and some length here".encode().split() + ["</s>"]
     train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2] + [orphan]
@@ -324,6 +324,52 @@ def test_backoff_automaton(spark, docs, order):
     assert ngram_lm.score_texts(docs.limit(0)).count() == 0
 
 
+def test_automaton_walks_states_and_failure_arcs():
+    """Lanes of any size end where a single walk does, which is held against a dictionary of states."""
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.choice("abcdefg") for _ in range(rnd.choice([0, 1, 5, 90]))) for _ in range(12)]
+    tokens, bounds = ngram_lm._tokens(pa.array(texts))
+    vocabulary, index = np.unique(tokens, return_inverse=True)
+    block = ngram_lm.Block(ngram_lm.squeeze(bounds.astype(np.uint64)), vocabulary.tobytes(), ngram_lm.squeeze(index.astype(np.uint32)))
+    train = block.of_rows([i % 3 > 0 for i in range(12)])
+    grams, counts = [], []
+    for k in (1, 2, 3):
+        keys, gram = np.unique(block.keys(k), return_inverse=True)
+        grams.append(gram)
+        counts.append(np.bincount(gram[train], minlength=len(keys)))
+    n, v, ones = int(counts[0].sum()), int((counts[0] > 0).sum()), int((counts[0] == 1).sum())
+    machine = ngram_lm.Automaton(block, grams, counts, 8, n, v, ones, 4.0)
+    whole = machine.walk(10**6)
+    assert all(np.allclose(machine.walk(size), whole, rtol=1e-12) for size in (3, 4, 17))
+    split = [t.split() + ["</s>"] for t in texts]
+    seen = [Counter() for _ in range(4)]
+    for t in [t for i, t in enumerate(split) if i % 3]:
+        padded = ["<s>", "<s>", *t]
+        for k in (1, 2, 3):
+            seen[k].update(tuple(padded[at - k + 1 : at + 1]) for at in range(2, len(padded)))
+    d = min(0.9, max(ones, 1) / v)
+
+    def arc(h, w):  # the weight of a stored arc
+        if not h:
+            return (seen[1][(w,)] - d) / n
+        c = 8 if set(h) == {"<s>"} else seen[len(h)][h]
+        return (seen[len(h) + 1][(*h, w)] + 4.0 * arc(h[1:], w)) / (c + 4.0)
+
+    for t, got in zip(split, whole):
+        state, total = ("<s>", "<s>"), 0.0
+        for w in t:
+            while state and not seen[len(state) + 1][(*state, w)]:
+                c = 8 if set(state) == {"<s>"} else seen[len(state)][state]
+                state, total = state[1:], total + math.log10(4.0 / (c + 4.0))
+            if not state and not seen[1][(w,)]:
+                total += math.log10(d * v / n)
+                continue
+            total, state = total + math.log10(arc(state, w)), (*state, w)[-2:]
+            while not seen[len(state)][state]:
+                state = state[1:]
+        assert math.isclose(got, total, rel_tol=1e-9)
+
+
 def test_hilbert_curve_is_a_walk():
     cells = np.array(list(itertools.product(range(8), repeat=3)))
     walk = cells[np.argsort(hilbert.hilbert_index(cells, 3))]
