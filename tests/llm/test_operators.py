@@ -69,15 +69,38 @@ def test_ids_join_alike_broadcast_or_shuffled(spark, how, want):
 
 def test_top_k(spark):
     rnd = np.random.default_rng(0)
-    rows = [(i, [float(x) for x in rnd.normal(size=6)]) for i in range(300)] + [(1000 + i, [0.5] * 6) for i in range(8)]
-    rows += [(50, rows[50][1]), (2000, None), (2001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2002, [float("nan")] * 6), (2003, [float("inf")] * 6), (None, [1.0] * 6), (2050, [0.1, 0.2]), (2051, [0.3, 0.2])]
+    rows = [(i, [float(x) for x in rnd.normal(size=6)]) for i in range(300)] + [(1000 + i, [0.5] * 6) for i in range(40)]
+    rows += [(50, rows[50][1]), (50, [2.0] * 6), (7, [-0.5] * 6), (7, rows[7][1]), (7, rows[7][1]), (2000, None), (2001, [1.0, None, 0.0, 0.0, 0.0, 0.0])]
+    rows += [(2002, [float("nan")] * 6), (2003, [float("inf")] * 6), (None, [1.0] * 6), (2050, [0.1, 0.2]), (2051, [0.3, 0.2]), (2060, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = topk.top_k(df, F.col("vec_id") % 50 == 0)
-    clean = df.distinct().toPandas()
-    same(got.select("query_id", "rank", "vec_id", "score"), topk.OP1_SQL, embeddings=pa.Table.from_pylist([{"vec_id": None if v != v else int(v), "embedding": None if e is None else [None if x is None else float(x) for x in e]} for v, e in zip(clean.vec_id, clean.embedding)], schema=pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32()))])))
+    kind = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32()))])
+    same(topk.top_k(df, F.col("vec_id") % 50 == 0), topk.OP1_SQL, embeddings=pa.Table.from_pylist([dict(zip(("vec_id", "embedding"), r)) for r in rows], schema=kind))
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
-    few = topk.top_k(df.filter("vec_id < 3"), F.col("vec_id") == 0).collect()
-    assert [r["rank"] for r in few] == [1, 2]
+
+
+def test_top_k_of_few_and_of_large_components(spark):
+    rows = [(0, [1.0, 2.0]), (1, [5.0, 0.0]), (1, [-5.0, 0.0]), (2, [1e8, 3.0]), (3, [3e15, -1.0]), (4, [1e300, 1.0]), (5, [1e300, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    most = (1 << 63) - 1
+    whole = lambda v: [min(most, int(256 * x) if x > 0 else -int(-256 * x)) for x in v]
+    want = sorted((-min(most, sum(a * b for a, b in zip(whole(rows[0][1]), whole(v)))), i) for i, v in rows if i)[:5]
+    assert got == [(r + 1, i, -s) for r, (s, i) in enumerate(want)]
+    few = topk.top_k(df.filter("vec_id < 2"), F.col("vec_id") == 0).collect()
+    assert sorted((r["rank"], r["score"]) for r in few) == [(1, 1280 * 256), (2, -1280 * 256)]
+
+
+def test_bounds_hold_and_leave_few():
+    rnd = np.random.default_rng(3)
+    exact = np.floor(256 * rnd.normal(size=(5000, 32)) / 6).astype(np.int64)
+    block = topk.approximate(np.arange(5000), np.arange(5000), exact)
+    q, c, lower, upper = topk.scan(exact[:20], np.arange(20), block, 5)
+    score = (exact[q] * exact[c]).sum(1)
+    assert (lower <= score).all() and (score <= upper).all() and (q != c).all() and len(q) < 20 * 100
+    every = exact[:20] @ exact.T
+    every[np.arange(20), np.arange(20)] = -(1 << 60)
+    for i in range(20):
+        assert set(np.argsort(-every[i], kind="stable")[:5]) <= set(c[q == i])
 
 
 def test_line_rules(spark, docs):
