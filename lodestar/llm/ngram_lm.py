@@ -49,8 +49,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.blocks import _MULT, Words, fold, mix, persisted, released, slices, table
 
 BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 8 << 20
-PART_BYTES = 64 << 20
+BUCKET_BYTES = 4 << 20
+PART_BYTES = 8 << 20
 FAN_IN = 4096
 LANE = 512
 ORDER = 3
@@ -97,7 +97,11 @@ def _blocks(most: int):
             tokens = np.concatenate([t for _, t, _ in held_parts])
             base = np.cumsum([0, *(len(t) for _, t, _ in held_parts)])
             bounds = np.concatenate([b[:-1] + x for (_, _, b), x in zip(held_parts, base)] + [base[-1:]])
-            vocabulary, index = np.unique(tokens, return_inverse=True)
+            vocabulary, index, often = np.unique(tokens, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # frequent tokens get small numbers, which pack well
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            vocabulary, index = vocabulary[order], rank[index]
             ids = pa.concat_arrays([p.column("doc_id") for p, _, _ in held_parts])
             held = pa.concat_arrays([p.column("held") for p, _, _ in held_parts])
             return pa.RecordBatch.from_pydict({"block": pa.array([f"{task}-{serial}"]), "bytes": pa.array([size], pa.int64()), "doc_id": pa.ListArray.from_arrays([0, len(ids)], ids), "held": pa.ListArray.from_arrays([0, len(held)], held), "bounds": pa.array([squeeze(bounds.astype(np.uint64))]), "vocabulary": pa.array([vocabulary.tobytes()]), "tokens": pa.array([squeeze(index.astype(np.uint32))])})
@@ -124,7 +128,7 @@ class Block:
         self.tokens = np.frombuffer(vocabulary, np.uint64)[expand(tokens).astype(np.int64)]
 
     def keys(self, order: int) -> np.ndarray:
-        """Hash of the n-gram that ends at each token; before a text stand start symbols."""
+        """60-bit hash of the n-gram that ends at each token; before a text stand start symbols."""
         total = np.zeros(len(self.tokens), np.uint64)
         place = np.arange(len(self.tokens)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
         for back in range(order):
@@ -132,7 +136,7 @@ class Block:
             token[back:] = self.tokens[: len(self.tokens) - back] if back else self.tokens
             token[place < back] = _START
             total += mix(token + np.uint64(back + 1)) * _MULT[back]
-        return mix(total + np.uint64(order))
+        return mix(total + np.uint64(order)) >> np.uint64(4)
 
     def of_rows(self, values: list[bool]) -> np.ndarray:
         return np.repeat(np.array(values, bool), np.diff(self.bounds))
@@ -140,7 +144,7 @@ class Block:
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets in the order of the keys."""
-    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return ((keys >> np.uint64(28)) * np.uint64(buckets)) >> np.uint64(32)
 
 
 def _requests(order: int, buckets: int):
