@@ -148,6 +148,3 @@ class ActionColumnPolicy(Policy):
     def probs(self) -> Column:
         return F.transform(action_array(self.action_space), lambda a: (a == F.col(self.action_col)).cast("double"))
 
-
-def finite(x: float | None) -> bool:
-    return x is not None and math.isfinite(x)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestar.operators.bootstrap import cumulative, quantiles
 from lodestar.operators.estimators import MODELLED, WEIGHTED, effective_sample_size
 
 #: Thresholds and names of the flags, in order; all inequalities are strict.
@@ -39,12 +39,12 @@ def flags_column(flags, columns: dict[str, Column]) -> Column:
 
 
 def weight_aggregates(method: str, clip: float | None = None, tau: float | None = None) -> dict[str, Column]:
-    """Aggregates over scored rows; weights are unclipped, missing ones count as 0."""
+    """Aggregates over scored rows; weights are unclipped, missing ones count as 0. Percentiles: :func:`weight_tail`."""
     out = {"n_samples": F.count(F.lit(1)), "replay_overlap": F.avg(F.col("match").cast("double"))}
     if method in WEIGHTED:
-        w = F.coalesce(F.when(~F.isnan("w"), F.col("w")), F.lit(0.0))
+        w = weight_column()
         ess = effective_sample_size(w)
-        out |= {"weight_ess": ess, "weight_ess_ratio": ess / F.greatest(F.count(F.lit(1)), F.lit(1)), "weight_max": F.max(w), "weight_tail": F.percentile(w, F.array(F.lit(0.95), F.lit(0.99)))}
+        out |= {"weight_ess": ess, "weight_ess_ratio": ess / F.greatest(F.count(F.lit(1)), F.lit(1)), "weight_max": F.max(w)}
         if clip is not None and method in ("ips", "snips", "dr", "sndr"):
             out["clip_share"] = F.avg((w > clip).cast("double"))
         if method == "switch_dr":
@@ -69,16 +69,21 @@ def outcome_aggregates(binary: bool) -> dict[str, Column]:
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row ``roc_auc``: rank-sum with half credit for ties; null with one class. Rows are grouped by
-    score first; ranges of scores carry their totals, so no task sees more than one range."""
+    """One row ``roc_auc``: rank-sum with half credit for ties; null with one class. Equal scores are one
+    group, and groups are summed up in ranges of their order, so no scores, however alike, meet in one task."""
     groups = df.groupBy(F.col(score).alias("s")).agg(F.sum((F.col(label) == 1).cast("double")).alias("pos"), F.sum((F.col(label) == 0).cast("double")).alias("neg"))
-    ranged = groups.withColumn("bin", F.floor(F.col("s") * 1024))
-    bins = ranged.groupBy("bin").agg(F.sum("neg").alias("neg"))
-    below = bins.select("bin", F.coalesce(F.sum("neg").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("below"))  # at most 1025 rows for probabilities
-    inside = W.partitionBy("bin").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    placed = ranged.withColumn("inside", F.coalesce(F.sum("neg").over(inside), F.lit(0.0))).join(F.broadcast(below), "bin")
-    wins = F.sum(F.col("pos") * (F.col("below") + F.col("inside") + F.col("neg") / 2))
-    return placed.agg((wins / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("roc_auc"))
+    wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
+    return cumulative(groups, "s", "neg", "below").agg((wins / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("roc_auc"))
+
+
+def weight_column() -> Column:
+    """Unclipped weights; missing ones count as 0."""
+    return F.coalesce(F.when(~F.isnan("w"), F.col("w")), F.lit(0.0))
+
+
+def weight_tail(scored: DataFrame) -> tuple[float | None, float | None]:
+    """The exact 95th and 99th percentiles of the weights of scored rows."""
+    return tuple(quantiles(scored, weight_column(), (0.95, 0.99)))
 
 
 @dataclass(frozen=True)

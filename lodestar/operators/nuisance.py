@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.contract import bad_propensity, resolve_features
+from lodestar.contract import bad_propensity
 from lodestar.functions.policies import SAFE_PROPENSITY, take_probability_or
 from lodestar.operators.bootstrap import hash32
-from lodestar.operators.models import fit_behavior, fit_outcome, observed
+from lodestar.operators.models import fit_behavior, fit_behaviors, fit_outcomes, observed
 
 #: Notes that summaries carry.
 ESTIMATED = "estimated_propensity_from_behavior_model"
@@ -92,10 +93,62 @@ def resolve_propensity(df: DataFrame, source: str, column: str | None, features:
 
 def out_of_fold(df: DataFrame, k: int, features: Sequence[str], action: str, target: str, space: Sequence, binary: bool | None = None) -> tuple[Propensity, Column]:
     """Propensity and mu array with a model per fold, each fitted on the other folds; df has ``fold``."""
-    fits = [df.filter(F.col("fold") != j) for j in range(k)]
-    pa = by_fold([take_probability_or(fit_behavior(d, features, action).probs_over(space), F.col(action), space, SAFE_PROPENSITY) for d in fits])
-    mu = by_fold([fit_outcome(d, features, action, target, binary).mu_array(space) for d in fits])
-    return Propensity(pa, None, "estimated", None, (ESTIMATED,), True), mu
+    probs = [m.probs_over(space) for m in fit_behaviors(df, features, action, k)]
+    pa = by_fold([take_probability_or(p, F.col(action), space, SAFE_PROPENSITY) for p in probs])
+    return Propensity(pa, None, "estimated", None, (ESTIMATED,), True), out_of_fold_outcome(df, k, features, action, target, space, binary)
+
+
+def out_of_fold_outcome(df: DataFrame, k: int, features: Sequence[str], action: str, target: str, space: Sequence, binary: bool | None = None) -> Column:
+    return by_fold([m.mu_array(space) for m in fit_outcomes(df, features, action, target, k, binary)])
+
+
+@dataclass(frozen=True)
+class OutcomePredictions:
+    """mu: predictions of a target for every action of a space, as an array column of the log."""
+
+    target: str
+    mu: Column
+    space: tuple
+    out_of_fold: bool = False
+
+
+@dataclass(frozen=True)
+class NuisanceBundle:
+    """Predictions that a caller holds and reuses: fitted out of fold, or from models of their own."""
+
+    behavior: Propensity | None = None
+    outcome: OutcomePredictions | None = None
+    n_splits: int | None = None
+    notes: tuple[str, ...] = ()
+
+
+def validate_behavior_predictions(df: DataFrame, propensity: Propensity) -> None:
+    """The predictions must be columns of df without missing values."""
+    _validate(df, "propensity", propensity.pa)
+
+
+def validate_outcome_predictions(df: DataFrame, outcome: OutcomePredictions, required_actions: Sequence | None = None, target: str | None = None) -> None:
+    """The predictions must be of the target, for every required action, one for each on every row."""
+    if target is not None and outcome.target != target:
+        raise ValueError(f"outcome predictions are for target {outcome.target}, not {target}")
+    if missing := [a for a in required_actions or () if a not in outcome.space]:
+        raise ValueError(f"outcome predictions are missing actions {missing}")
+    _validate(df, "outcome predictions", F.when(F.size(outcome.mu) == len(outcome.space), F.element_at(outcome.mu, 1)))
+
+
+def _validate(df: DataFrame, what: str, value: Column) -> None:
+    try:
+        bad = df.select(value.alias("v")).filter("v IS NULL OR isnan(v)").isEmpty()
+    except AnalysisException as e:
+        raise ValueError(f"{what} can't be read from the log: {e.getMessage()}") from e
+    if not bad:
+        raise ValueError(f"{what} must have a value on every row")
+
+
+def fit_crossfit_bundle(df: DataFrame, target: str, *, features: Sequence[str], action_col: str, space: Sequence, k: int = 5, binary: bool | None = None) -> NuisanceBundle:
+    """Out-of-fold predictions of both models as one bundle; df has ``fold``."""
+    propensity, mu = out_of_fold(df, k, features, action_col, target, space, binary)
+    return NuisanceBundle(propensity, OutcomePredictions(target, mu, tuple(space), True), k, ("oof_crossfit_bundle",))
 
 
 def default_space(df: DataFrame, action: str, space: Sequence | None, k: int | None = None) -> list:
@@ -108,6 +161,3 @@ def default_space(df: DataFrame, action: str, space: Sequence | None, k: int | N
     if any(isinstance(a, str) for a in found):
         raise ValueError("string actions need an explicit action_space")
     return list(range(max(found) + 1))
-
-
-__all__ = ["Propensity", "balanced_folds", "by_fold", "default_space", "estimated", "fold_column", "logged", "out_of_fold", "resolve_features", "resolve_propensity"]

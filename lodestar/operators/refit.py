@@ -28,9 +28,9 @@ BLOCK = 1 << 20
 _UNSEEN = -1e30
 
 
-def draws(keys: DataFrame, n_boot: int) -> DataFrame:
+def draws(keys: DataFrame, n_boot: int, salt: str = "") -> DataFrame:
     """(__key, counts): how often each replicate draws the key, a byte each (beyond 255, a chance below 10^-500, does not occur)."""
-    counts = boot.multinomial_counts(keys.sparkSession, keys.count(), n_boot).groupBy("rank").agg(F.collect_list("b").alias("b"), F.collect_list("cnt").alias("n"))
+    counts = boot.multinomial_counts(keys.sparkSession, keys.count(), n_boot, salt).groupBy("rank").agg(F.collect_list("b").alias("b"), F.collect_list("cnt").alias("n"))
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,17 +12,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.contract import bad_propensity, infer_features, is_null_or_nan
+from lodestar.contract import BanditSchema, LoggedBandit, bad_propensity, infer_features, is_binary, is_null_or_nan
 from lodestar.functions import policies as P
 from lodestar.operators import bootstrap as B
 from lodestar.operators import diagnostics as D
 from lodestar.operators import estimators as E
-from lodestar.operators.models import fit_linear, fit_outcome
-from lodestar.operators.nuisance import by_fold, estimated, fold_column, resolve_propensity
+from lodestar.operators.models import fit_behavior, fit_binary, fit_linear, fit_outcome, fit_scaler
+from lodestar.operators.nuisance import estimated, fold_column, out_of_fold_outcome, resolve_propensity
 from lodestar.plans import compare as C
 from lodestar.plans.report import log_profile
 from lodestar.plans.validation import aggregate_runs
-from lodestar.sources.synthetic import ACCEPT, SynthConfig, SyntheticEnvironment
+from lodestar.sources.synthetic import ACCEPT, UPLIFT, SynthConfig, SyntheticEnvironment
 
 SPACE = ("click", "error", "purchase", "signup", "view")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,10 +182,10 @@ def all_estimators(spark, d):
 
 @query(sql_e(f"SELECT target, {R('avg(y)')} AS v_a, {R('avg(w * y)')} AS v_b, {R('avg(w * y) - avg(y)')} AS delta FROM (SELECT 'value' AS target, w, r AS y FROM s UNION ALL SELECT 'big', w, CAST(r > 50 AS INTEGER) FROM s) GROUP BY target"))
 def multi_target(spark, d):
-    s = scored_e(spark, d)
-    targets = {"value": F.col("r"), "big": (F.col("r") > 50).cast("double")}
-    found = s.agg(*[F.struct(F.lit(n).alias("target"), F.avg(y).alias("v_a"), F.avg(F.col("w") * y).alias("v_b"), (F.avg(F.col("w") * y) - F.avg(y)).alias("delta")).alias(n) for n, y in targets.items()])
-    return rounded(found.select(F.explode(F.array(*targets)).alias("x")).select("x.*"))
+    e = view_e(spark, d).withColumn("value", F.col("reward")).withColumn("big", (F.col("reward") > 50).cast("double"))
+    both = C.compare_policies_multi_target(e, policy_b(), ["value", "big"], "ips", action_col="a", propensity_col="p_logged", action_space=SPACE, feature_cols=["k"], with_ci=False)
+    rows = [(t, r.v_a, r.v_b, r.delta) for t, r in both.results.items()]
+    return rounded(spark.createDataFrame(rows, "target string, v_a double, v_b double, delta double"))
 
 
 # policies
@@ -229,27 +229,24 @@ def take_action_prob(spark, d):
 
 @query(sql_e("SELECT count(*) AS n, CAST(sum(CAST(r IS NULL OR isnan(r) AS INTEGER)) AS BIGINT) AS missing_reward, CAST(sum(CAST(a IS NULL AS INTEGER)) AS BIGINT) AS missing_action, CAST(sum(CAST(pa IS NULL OR isnan(pa) OR pa <= 0 OR pa > 1 AS INTEGER)) AS BIGINT) AS bad_propensity, count(DISTINCT user_id) AS clusters FROM s"))
 def contract_validation(spark, d):
-    return view_e(spark, d).agg(F.count(F.lit(1)).alias("n"), F.sum(is_null_or_nan(F.col("reward")).cast("long")).alias("missing_reward"), F.sum(F.col("a").isNull().cast("long")).alias("missing_action"), F.sum(bad_propensity(F.col("p_logged")).cast("long")).alias("bad_propensity"), F.countDistinct("user_id").alias("clusters"))
+    log = LoggedBandit(view_e(spark, d), BanditSchema("a", "reward", ("k",), "p_logged", "user_id"))  # raises on a bad log
+    checks = {"missing_reward": is_null_or_nan(F.col("reward")), "missing_action": F.col("a").isNull(), "bad_propensity": bad_propensity(F.col("p_logged"))}
+    sums = [F.sum(c.cast("long")).alias(n) for n, c in checks.items()]
+    return log.df.agg(F.count(F.lit(1)).alias("n"), *sums, F.countDistinct(log.schema.cluster_col).alias("clusters"))
 
 
 @query(f"SELECT 'l_quantity' AS feature, {R('avg(l_quantity)')} AS mean, {R('stddev_pop(l_quantity)')} AS scale FROM lineitem UNION ALL SELECT 'l_discount', {R('avg(l_discount + 0.0)')}, {R('stddev_pop(l_discount + 0.0)')} FROM lineitem UNION ALL SELECT 'l_tax', {R('avg(l_tax)')}, {R('stddev_pop(l_tax)')} FROM lineitem")
 def feature_inference_profile(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
     names = infer_features(li, ("l_extendedprice",))
-    found = li.agg(*[F.struct(F.lit(c).alias("feature"), F.avg(F.col(c) + 0.0).alias("mean"), F.stddev_pop(F.col(c) + 0.0).alias("scale")).alias(c) for c in names])
-    return rounded(found.select(F.explode(F.array(*names)).alias("x")).select("x.*"))
+    scaler = fit_scaler(li, names)
+    return rounded(spark.createDataFrame([(c, float(m), float(x)) for c, m, x in zip(names, scaler.mean, scaler.scale)], "feature string, mean double, scale double"))
 
 
 @query("SELECT 'value' AS target, min(value) = 0 AND max(value) = 1 AND count(*) FILTER (value NOT IN (0, 1)) = 0 AS is_binary FROM events UNION ALL SELECT 'big', min(CAST(value > 50 AS INTEGER)) = 0 AND max(CAST(value > 50 AS INTEGER)) = 1 FROM events")
 def binary_target_check(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select("value", (F.col("value") > 50).cast("int").alias("big"))
-
-    def test(c):
-        y = F.col(c).cast("double")
-        return (F.min(y) == 0.0) & (F.max(y) == 1.0) & (F.sum((~y.isin(0.0, 1.0)).cast("int")) == 0)
-
-    found = e.agg(*[F.struct(F.lit(c).alias("target"), test(c).alias("is_binary")).alias(f"t_{c}") for c in ("value", "big")])
-    return found.select(F.explode(F.array("t_value", "t_big")).alias("x")).select("x.*")
+    return spark.createDataFrame([(c, is_binary(e, c)) for c in ("value", "big")], "target string, is_binary boolean")
 
 
 @query(sql_e(f"SELECT 'logged' AS source, 'auto_selected_logged_propensity' AS note, {R('avg(pa)')} AS mean_pa, {R('avg(w * r)')} AS ips FROM s"))
@@ -265,8 +262,9 @@ def propensity_auto_resolution(spark, d):
 
 @query(sql_e(f"SELECT count(*) AS n_samples, {R('avg(CAST(match AS INTEGER))')} AS replay_overlap, {R('sum(w) * sum(w) / sum(w * w)')} AS weight_ess, {R('sum(w) * sum(w) / sum(w * w) / count(*)')} AS weight_ess_ratio, {R('max(w)')} AS weight_max, {R('quantile_cont(w, 0.95)')} AS weight_p95, {R('quantile_cont(w, 0.99)')} AS weight_p99 FROM s"))
 def weight_diagnostics(spark, d):
-    found = scored_e(spark, d).agg(*[c.alias(n) for n, c in D.weight_aggregates("ips").items()])
-    return rounded(found.withColumn("weight_p95", F.col("weight_tail")[0]).withColumn("weight_p99", F.col("weight_tail")[1]).drop("weight_tail"))
+    s = scored_e(spark, d)
+    found, (p95, p99) = s.agg(*[c.alias(n) for n, c in D.weight_aggregates("ips").items()]), D.weight_tail(s)
+    return rounded(found.withColumn("weight_p95", F.lit(p95)).withColumn("weight_p99", F.lit(p99)))
 
 
 @query(sql_e(f"SELECT cx, count(*) AS n, {R('avg(CAST(match AS INTEGER))')} AS overlap, {R('avg(pa)')} AS mean_pa FROM s GROUP BY cx"))
@@ -281,7 +279,7 @@ _FLAGGED = f"""f AS (SELECT avg(CAST(match AS INTEGER)) AS o, sum(v) * sum(v) /
 @query(sql_e("SELECT concat_ws(',', CASE WHEN o < 0.05 THEN 'low_replay_overlap' END, CASE WHEN er < 0.1 THEN 'low_ess_ratio' END, CASE WHEN mx > 50 THEN 'extreme_max_weight' END, CASE WHEN p99 > 20 THEN 'heavy_weight_tail' END, CASE WHEN cs > 0.2 THEN 'large_clip_share' END) AS flags FROM f", _FLAGGED))
 def warning_flags(spark, d):
     s = scored_e(spark, d).withColumn("w", F.col("pb_taken") / F.when(F.col("a") == "view", 0.01).otherwise(F.col("pa")))
-    found = s.agg(*[c.alias(n) for n, c in D.weight_aggregates("ips", 2.0).items()]).withColumn("weight_p99", F.col("weight_tail")[1])
+    found = s.agg(*[c.alias(n) for n, c in D.weight_aggregates("ips", 2.0).items()]).withColumn("weight_p99", F.lit(D.weight_tail(s)[1]))
     keys = ("replay_overlap", "weight_ess_ratio", "weight_max", "weight_p99", "clip_share")
     return found.select(F.array_join(D.flags_column(D.FLAGS, {k: F.col(k) for k in keys}), ",").alias("flags"))
 
@@ -342,7 +340,7 @@ ct AS (SELECT sf.*, x.i + b * k AS mul, 0.75 * y.i + 0.05 * si + b * k AS dm FRO
 @query(sql_e(f"SELECT {R('avg(dm + w * (r - mul))')} AS value FROM ct", _CROSS))
 def crossfit_ols_dr(spark, d):
     e = view_e(spark, d).withColumn("fold", fold_column(F.col("event_id"), 5))
-    mu = by_fold([fit_linear(e.filter(F.col("fold") != j), ["k"], "a", "reward").mu_array(SPACE) for j in range(5)])
+    mu = out_of_fold_outcome(e, 5, ["k"], "a", "reward", SPACE, False)
     s = E.score_rows(e, reward=F.col("reward"), action=F.col("a"), pb=policy_b().probs(), space=SPACE, pa=F.col("p_logged"), mu=mu)
     return rounded(s.agg(E.estimate_column("dr").alias("value")))
 
@@ -384,8 +382,13 @@ _L = """li AS (SELECT l_orderkey AS o, l_returnflag AS a, l_extendedprice * (1 -
 
 @query(f"WITH {_L} x AS (SELECT a, count(*) AS n, {R('avg(r)', 4)} AS v_a, {R('avg(pbt / (1.0 / 3) * r)', 4)} AS ips FROM li GROUP BY a) SELECT * FROM x")
 def lineitem_slices(spark, d):
-    li = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_returnflag").alias("a"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"), F.when((F.col("l_returnflag") == "A") == (F.col("l_quantity") < 25), 0.6).otherwise(0.2).alias("pbt"))
-    return rounded(li.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("v_a"), F.avg(F.col("pbt") / (1.0 / 3) * F.col("r")).alias("ips")), 4)
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", "l_extendedprice", "l_discount", "l_quantity")
+    space = ("A", "N", "R")
+    place = lambda x: (x == "A") == (F.col("l_quantity") < 25)
+    pb = F.transform(P.action_array(space), lambda x: F.when(place(x), 0.6).otherwise(0.2))
+    s = E.score_rows(li, reward=F.col("l_extendedprice") * (1 - F.col("l_discount")), action=F.col("l_returnflag"), pb=pb, space=space, pa=F.lit(1.0 / 3))
+    found = s.groupBy(F.col("l_returnflag").alias("a")).agg(F.count(F.lit(1)).alias("n"), E.estimate_column("on_policy").alias("v_a"), E.estimate_column("ips").alias("ips"))
+    return rounded(found, 4)
 
 
 # orchestration
@@ -404,15 +407,27 @@ def analyze_logs_profile(spark, d):
     return rounded(spark.createDataFrame([(found["ab_share"], found["replay_share"])], "ab_share double, replay_share double"))
 
 
-_RUNS = "SELECT o_orderpriority AS mode, o_orderstatus AS estimator, o_totalprice / 1e5 - 1.5 AS delta_bias, o_custkey % 2 = 0 AS cov, o_custkey % 3 = 0 AS sig, CASE WHEN o_custkey % 5 > 0 THEN o_totalprice / 1e6 END AS er FROM orders"
+_RUNS = """SELECT o_orderpriority AS mode, o_orderstatus AS estimator, o_totalprice / 1e5 - 1.5 AS bias, o_totalprice / 1e5 AS hat,
+  o_custkey % 2 = 0 AS cov, o_custkey % 3 = 0 AS sig, CASE WHEN o_custkey % 5 > 0 THEN o_totalprice / 1e6 END AS er FROM orders"""
+_AGGREGATES = {
+    "v_b_bias_mean": "avg(2 * bias)", "v_b_std": "stddev_samp(2 * hat)", "v_b_rmse": "sqrt(avg(4 * bias * bias))",
+    "delta_bias_mean": "avg(bias)", "delta_std": "stddev_samp(hat)", "delta_rmse": "sqrt(avg(bias * bias))", "delta_abs_error_mean": "avg(abs(bias))",
+    "delta_ci_coverage": "avg(CAST(cov AS INTEGER))", "significance_rate": "avg(CAST(sig AS INTEGER))", "mean_ess_ratio": "avg(er)",
+}
 
 
-@query(f"SELECT mode, estimator, count(*) AS n_runs, {R('avg(delta_bias)')} AS mean_delta_bias, {R('stddev_samp(delta_bias)')} AS std_delta_bias, {R('sqrt(avg(delta_bias * delta_bias))')} AS rmse_delta, {R('avg(CAST(cov AS INTEGER))')} AS ci_coverage, {R('avg(CAST(sig AS INTEGER))')} AS significance_rate, {R('avg(er)')} AS mean_ess_ratio FROM ({_RUNS}) GROUP BY mode, estimator")
+@query(f"SELECT mode, estimator, count(*) AS runs, {', '.join(f'{R(x)} AS {n}' for n, x in _AGGREGATES.items())} FROM ({_RUNS}) GROUP BY mode, estimator")
 def validation_aggregate(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet")
-    none = F.lit(None).cast("double")
-    runs = o.select(F.col("o_orderpriority").alias("mode"), F.col("o_orderstatus").alias("estimator"), (F.col("o_totalprice") / 1e5 - 1.5).alias("delta_bias"), none.alias("abs_delta_error"), (F.col("o_custkey") % 2 == 0).alias("delta_ci_covers_oracle"), (F.col("o_custkey") % 3 == 0).alias("is_significant"), F.when(F.col("o_custkey") % 5 > 0, F.col("o_totalprice") / 1e6).alias("ess_ratio"), *[none.alias(c) for c in ("weight_p99", "behavior_log_loss", "outcome_log_loss", "outcome_rmse")])
-    return rounded(aggregate_runs(runs).select("mode", "estimator", "n_runs", "mean_delta_bias", "std_delta_bias", "rmse_delta", "ci_coverage", "significance_rate", "mean_ess_ratio"))
+    o, bias = spark.read.parquet(f"{d}/orders.parquet"), F.col("o_totalprice") / 1e5 - 1.5
+    runs = o.select(
+        F.col("o_orderpriority").alias("mode"), F.col("o_orderstatus").alias("estimator"), F.col("o_orderkey").alias("run_id"),
+        bias.alias("delta_bias"), (2 * bias).alias("v_b_bias"), F.abs(bias).alias("abs_delta_error"),
+        (F.col("o_totalprice") / 1e5).alias("delta_hat"), (2 * F.col("o_totalprice") / 1e5).alias("v_b_hat"),
+        (F.col("o_custkey") % 2 == 0).alias("delta_ci_covers_oracle"), (F.col("o_custkey") % 3 == 0).alias("is_significant"),
+        F.when(F.col("o_custkey") % 5 > 0, F.col("o_totalprice") / 1e6).alias("ess_ratio"),
+        *[F.lit(None).cast("double").alias(c) for c in ("weight_p99", "behavior_log_loss", "outcome_log_loss", "outcome_rmse")],
+    )
+    return rounded(aggregate_runs(runs).select("mode", "estimator", "runs", *_AGGREGATES))
 
 
 # synthetic environment
@@ -444,7 +459,90 @@ def synthetic_oracle(spark, d):
     return rounded(p.agg(*[F.avg(F.col("p")[i]).alias(f"p{i}") for i in range(4)]))
 
 
-# models without a closed form in SQL
+def _score_of(row) -> str:
+    terms = ("1", "loyal", "((age - 40) / 12.0)", "((risk - 0.5) / 0.25)", "((ln(income) - 10.5) / 0.5)")
+    return "(" + " + ".join(f"CAST({float(w)!r} AS DOUBLE) * {t}" for w, t in zip(row, terms)) + ")"
+
+
+def _normal(stream: str) -> str:
+    return f"(sqrt(-2.0 * ln({_u(stream + '1')})) * cos(2.0 * pi() * {_u(stream + '2')}))"
+
+
+def _pick(array: str, at: str = "a") -> str:
+    return f"({array})[{at} + 1]"
+
+
+_GREEDY = P.make_policy("greedy", 1)
+_LOG = f"""{_USERS},
+b AS (SELECT u.*, user_id AS i, [{', '.join(map(_score_of, _GREEDY.weights))}] AS sc, [{', '.join(map(_logit, ACCEPT))}] AS pr, [{', '.join(map(_score_of, UPLIFT))}] AS up FROM u),
+q AS (SELECT *, list_position(sc, list_max(sc)) - 1 AS best, {_u('logaction')} AS ua FROM b),
+l AS (SELECT *, CAST(list_position(list_transform([0, 1, 2, 3], lambda k: 0.05 * (k + 1) + CASE WHEN best <= k THEN CAST(0.8 AS DOUBLE) ELSE 0 END > ua), true) - 1 AS INTEGER) AS a FROM q),
+m AS (SELECT *, CASE WHEN a = best THEN 0.85 ELSE 0.05 END AS pa, CAST({_u('logaccept')} < {_pick('pr')} AS INTEGER) AS acc FROM l),
+n AS (SELECT a, pa, acc, greatest(greatest(300.0 + 400.0 * loyal + 120.0 * greatest((ln(income) - 10.5) / 0.5, -1.0) + 30.0 * {_normal('logbase')}, 50.0)
+  + acc * greatest({_pick('up')}, 0.0) + 25.0 * {_normal('logcltv')}, 10.0) AS cltv FROM m)"""
+
+
+@query(f"WITH {_LOG} SELECT a AS \"a_A\", count(*) AS n, {R('avg(acc)', 4)} AS accept, {R('avg(cltv)', 4)} AS cltv, {R('avg(pa)', 4)} AS pa FROM n GROUP BY a")
+def synthetic_log(spark, d):
+    """A simulated log's totals."""
+    env = SyntheticEnvironment(spark, SynthConfig(2000))
+    logs = env.simulate_logs(P.make_policy("epsilon_greedy", 1, epsilon=0.2), propensity=True)
+    means = [F.avg(c).alias(n) for c, n in (("accept", "accept"), ("cltv", "cltv"), ("propensity_A", "pa"))]
+    return rounded(logs.groupBy("a_A").agg(F.count(F.lit(1)).alias("n"), *means), 4)
+
+
+_REFIT = f"""cl AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS rk FROM (SELECT DISTINCT user_id FROM s)),
+dr AS ({_draws('(SELECT count(*) FROM cl)', 8)}),
+rw AS (SELECT b, a, ab, k, r FROM dr JOIN cl USING (rk) JOIN s USING (user_id) UNION ALL SELECT 0, a, ab, k, r FROM s),
+rg AS (SELECT b, a, avg(k) AS mx, avg(r) AS my, covar_pop(k, r) * count(*) AS sxy, var_pop(k) * count(*) AS sxx FROM rw GROUP BY b, a),
+rs AS (SELECT b, sum(sxy) / sum(sxx) AS sl FROM rg GROUP BY b),
+ri AS (SELECT rg.b, a, my - sl * mx AS i FROM rg JOIN rs USING (b)),
+rt AS (SELECT b, sum(i) AS si FROM ri GROUP BY b),
+rep AS (SELECT rw.b, avg(0.75 * i + 0.05 * si + sl * k) AS v FROM rw JOIN ri ON ri.b = rw.b AND ri.a = rw.ab JOIN rt ON rt.b = rw.b JOIN rs ON rs.b = rw.b GROUP BY rw.b)"""
+
+
+@query(
+    sql_e(
+        f"SELECT {R('any_value(v) FILTER (b = 0)', 4)} AS v_b, {R('quantile_cont(v, 0.025) FILTER (b > 0)', 4)} AS v_b_low, "
+        f"{R('quantile_cont(v, 0.975) FILTER (b > 0)', 4)} AS v_b_high FROM rep",
+        _REFIT,
+    )
+)
+def refit_bootstrap_dm(spark, d):
+    """DM with least squares fitted again in every replicate."""
+    options = {"action_col": "a", "feature_cols": ["k"], "action_space": SPACE, "cluster_col": "user_id"}
+    r = C.compare_policies(view_e(spark, d), policy_b(), "dm", "reward", n_boot=8, **options)
+    return rounded(spark.createDataFrame([(r.v_b, *r.v_b_ci)], "v_b double, v_b_low double, v_b_high double"), 4)
+
+
+# logistic models have no closed form, but their optimum is known: residuals add up to 0 where a coefficient is
+# free, and to its negative where it is penalised
+
+
+@query(sql_e("SELECT a AS action, round(count(*) / CAST((SELECT count(*) FROM s) AS DOUBLE), 6) AS mean_p, CAST(0.0 AS DOUBLE) AS slope_residual FROM s GROUP BY a"))
+def lr_behavior_optimum(spark, d):
+    """Mean fitted probability of each action, and what is left of its score equation."""
+    e = view_e(spark, d)
+    m = fit_behavior(e, ["k"], "a")
+    z, p = m.scaler.columns(m.features)[0], m.probs()
+    sums = [F.struct(F.avg(F.element_at(p, i + 1)).alias("mean_p"), F.sum((F.element_at(p, i + 1) - (F.col("a") == c).cast("double")) * z).alias("g")).alias(c) for i, c in enumerate(m.classes)]
+    found = e.agg(*sums).first()
+    rows = [(c, found[c]["mean_p"], abs(found[c]["g"] + row[1])) for c, row in zip(m.classes, m.coefficients)]
+    return rounded(spark.createDataFrame(rows, "action string, mean_p double, slope_residual double"))
+
+
+@query(sql_e("SELECT round(avg(CAST(r > 50 AS INTEGER)), 6) AS mean_p, CAST(0.0 AS DOUBLE) AS slope_residual, CAST(0.0 AS DOUBLE) AS effect_residual FROM s"))
+def lr_outcome_optimum(spark, d):
+    """Mean fitted outcome, and what is left of the score equations of slope and action effects."""
+    e = view_e(spark, d).withColumn("big", (F.col("reward") > 50).cast("int"))
+    m = fit_binary(e, ["k"], "a", "big")
+    mu, z = m.mu_at(F.col("a")), m.scaler.columns(m.features)[0]
+    left = mu - F.col("big")
+    sums = [F.avg(mu).alias("mean_p"), F.sum(left * z).alias("g"), *[F.sum(F.when(F.col("a") == c, left).otherwise(0.0)).alias(f"e_{c}") for c in m.actions]]
+    found = e.agg(*sums).first()
+    effect = max(abs(found[f"e_{c}"] + b) for c, b in zip(m.actions, m.effects))
+    row = (found["mean_p"], abs(found["g"] + m.slopes[0]), effect)
+    return rounded(spark.createDataFrame([row], "mean_p double, slope_residual double, effect_residual double"))
 
 
 @query()
@@ -460,28 +558,11 @@ def lr_propensity_ips(spark, d):
 def lr_mu_dr(spark, d):
     """DR on a binary target with a fitted logistic outcome model."""
     e = view_e(spark, d).withColumn("big", (F.col("reward") > 50).cast("int"))
-    s = E.score_rows(e, reward=F.col("big"), action=F.col("a"), pb=policy_b().probs(), space=SPACE, pa=F.col("p_logged"), mu=fit_outcome(e, ["k"], "a", "big").mu_array(SPACE))
+    mu = fit_outcome(e, ["k"], "a", "big").mu_array(SPACE)
+    s = E.score_rows(e, reward=F.col("big"), action=F.col("a"), pb=policy_b().probs(), space=SPACE, pa=F.col("p_logged"), mu=mu)
     return rounded(s.agg(E.estimate_column("dr").alias("dr"), E.estimate_column("dm").alias("dm")), 4)
 
 
-@query()
-def refit_bootstrap_dm(spark, d):
-    """DM with least squares fitted again in every replicate."""
-    r = C.compare_policies(view_e(spark, d), policy_b(), "dm", "reward", action_col="a", feature_cols=["k"], action_space=SPACE, n_boot=8, cluster_col="user_id")
-    return rounded(spark.createDataFrame([(r.v_b, *r.v_b_ci)], "v_b double, v_b_low double, v_b_high double"), 4)
-
-
-@query()
-def synthetic_log(spark, d):
-    """A simulated log's totals."""
-    env = SyntheticEnvironment(spark, SynthConfig(2000))
-    logs = env.simulate_logs(P.make_policy("epsilon_greedy", 1, epsilon=0.2), propensity=True)
-    return rounded(logs.groupBy("a_A").agg(F.count(F.lit(1)).alias("n"), F.avg("accept").alias("accept"), F.avg("cltv").alias("cltv"), F.avg("propensity_A").alias("pa")), 4)
-
-
-
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: value of both policies with cluster bootstrap intervals on the events log."""
     s = scored_e(spark, sf_dir)

@@ -9,11 +9,8 @@ import pytest
 from lodestar.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ("all_estimators", "crossfit_ols_dr", "paired_bootstrap_pvalue", "weight_diagnostics", "roc_auc", "warning_flags", "compare_summary", "synthetic_users")
-
-
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query(spark, name):
     con = duckdb.connect()
     for t in ("events", "orders", "lineitem"):

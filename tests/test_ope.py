@@ -7,16 +7,20 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import lodestar
 from lodestar.contract import BanditSchema, LoggedBandit, is_binary, resolve_features
 from lodestar.functions import policies as P
 from lodestar.operators import bootstrap as B
 from lodestar.operators import diagnostics as D
 from lodestar.operators import estimators as E
+from lodestar.operators import models as M
+from lodestar.operators import nuisance as N
 from lodestar.operators.models import fit_behavior, fit_binary, fit_linear
 from lodestar.operators.nuisance import balanced_folds, fold_column, resolve_propensity
 from lodestar.operators.refit import refit_replicates
 from lodestar.plans import compare as C
-from lodestar.plans.report import analyze_logs, decision_summary, dump_json
+from lodestar.plans import report as R
+from lodestar.plans.report import analyze_logs, decision_summary, dump_json, write_artifacts
 from lodestar.plans.validation import ValidationMode, run_simulation_validation
 from lodestar.sources.synthetic import SynthConfig, SyntheticEnvironment
 from lodestar.streaming.running import finalised, windowed_sums
@@ -186,12 +190,39 @@ def test_bootstrap(spark):
     assert again == r
     null = B.paired_bootstrap(df, "ips", "user_id", 100).first()
     assert null["delta"] == 0 and null["p_value"] == 1.0 and not null["is_significant"]
-    big = B.paired_bootstrap(df.withColumn("r", F.lit(1.0)).withColumn("w", F.lit(2.0)), "ips", "user_id", 100).first()
-    assert big["p_value"] == 1.0 or big["delta"] == 1.0
+    big = B.paired_bootstrap(df.withColumn("w", F.lit(4.0)), "ips", "user_id", 300).first()
+    assert big["delta"] == 6.0 and big["p_value"] < 0.05 and big["is_significant"]
+    other = B.scalar_bootstrap(df, "on_policy", "user_id", 200, seed=7).first()
+    assert other["value"] == 2.0 and other != r and other == B.scalar_bootstrap(df, "on_policy", "user_id", 200, seed=7).first()
+    rows = df.select("r", "match", "w")
+    by_row = B.scalar_bootstrap(rows, "ips", None, 100).first()
+    assert by_row == B.scalar_bootstrap(rows.repartition(3), "ips", None, 100).first()
+    with pytest.raises(ValueError, match="row_key"):
+        B.scalar_bootstrap(rows, "ips", None, 10, kind="poisson")
     poisson = B.scalar_bootstrap(df, "on_policy", "user_id", 200, kind="poisson").first()
     assert poisson["ci_low"] <= 2.0 <= poisson["ci_high"]
     opaque = B.bootstrap_callable(df, lambda x: x["r"].mean(), "user_id", 20).first()
     assert opaque["value"] == 2.0
+    value, low, high = B.cluster_bootstrap_ci(df, lambda x: x["r"].mean(), n_boot=20)
+    assert value == 2.0 and low <= 2.0 <= high
+    flat = B.paired_bootstrap_ci(df, lambda x: (x["r"].mean(), 2 * x["r"].mean(), x["r"].mean()), n_boot=20)
+    assert flat["Delta"] == 2.0 and flat["V_B_CI"][0] <= 4.0 and flat["inference_warnings"] == [B.FEW_REPLICATES]
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        B.bootstrap_callable(df, lambda x: 0.0, "user_id", 5, max_rows=3)
+
+
+def test_ranges_of_order(spark):
+    rnd = np.random.default_rng(1)
+    v = np.concatenate([rnd.normal(size=300), np.zeros(100), [5.0]])
+    df = spark.createDataFrame([(float(x), int(y)) for x, y in zip(v, rnd.integers(0, 2, len(v)))], "v double, y int")
+    points = (0.0, 0.05, 0.5, 0.95, 0.99, 1.0)
+    assert np.allclose(B.quantiles(df, F.col("v"), points), np.quantile(v, points), rtol=1e-12)
+    assert B.quantiles(df.limit(0), F.col("v"), (0.5,)) == [None]
+    rows = df.collect()
+    pos, neg = ([r["v"] for r in rows if r["y"] == y] for y in (1, 0))
+    brute = np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
+    assert math.isclose(D.roc_auc(df, "v", "y").first()["roc_auc"], brute)
+    assert D.roc_auc(df.filter("y = 1"), "v", "y").first()["roc_auc"] is None
 
 
 def test_undefined_replicates(spark):
@@ -271,7 +302,10 @@ def test_compare_estimated_and_crossfit(logs):
     x = C.compare_policies(logs, b, "dr", use_crossfit=True, crossfit_k=2, propensity_source="logged", propensity_col="propensity_A", with_ci=False, row_key="user_id")
     assert C.CROSSFIT_OVERRIDES in x.notes and x.nuisance_diagnostics.outcome.is_out_of_fold
     both = C.compare_policies_multi_target(logs, b, ["accept", "cltv"], estimator="ips", propensity_col="propensity_A", with_ci=False)
-    assert set(both) == {"accept", "cltv"} and both["cltv"].v_a > 10
+    assert set(both.results) == {"accept", "cltv"} and both.results["cltv"].v_a > 10
+    assert set(both.to_dict()["results"]["accept"]["notes"]) >= set(both.results["accept"].info_notes)
+    alone = C.compare_policies(logs, b, "ips", "accept", propensity_col="propensity_A", with_ci=False)
+    assert alone.v_b == both.results["accept"].v_b
     d = LoggedBandit(logs, BanditSchema(propensity_col="propensity_A"))
     assert C.OPEEvaluator(b, "ips", with_ci=False).evaluate(d)["propensity_source"] == "logged"
     with pytest.raises(ValueError, match="unsupported"):
@@ -288,8 +322,60 @@ def test_decision_text():
 
 def test_analyze_logs(logs):
     text = analyze_logs(logs.drop("propensity_A"))
-    assert "estimated" in text and "user_id" in text
-    assert "%" in analyze_logs(logs, P.make_policy("greedy", 5))
+    assert all(x in text for x in (R.ENTRY, R.AUTO_PATH, R.STRICT_PATH, R.FAMILY, "user_id"))
+    text = analyze_logs(logs, P.make_policy("greedy", 5))
+    assert "%" in text and "propensity_A" in text and "replay overlap" in text
+
+
+def test_artifacts(logs, tmp_path):
+    r = C.compare_policies(logs, P.make_policy("softmax", 6, tau=0.8), "ips", propensity_col="propensity_A", with_ci=False)
+    paths = write_artifacts(str(tmp_path / "out"), r, "accept", logs)
+    assert len(paths) == 4 and json.load(open(paths[0]))["estimator"] == "ips" and "weight_max" in json.load(open(paths[1]))["diagnostics"]
+    assert logs.sparkSession.read.option("header", True).csv("file://" + paths[3]).count() == logs.count()
+
+
+def test_external_nuisances(logs):
+    """Predictions of a caller stand for the values; replicates fit their own, and say so."""
+    b, space = P.make_policy("softmax", 6, tau=0.8), (0, 1, 2, 3)
+    flat = F.array(*[F.lit(0.5)] * 4)
+    bundle = N.NuisanceBundle(N.logged(logs, "propensity_A"), N.OutcomePredictions("accept", flat, space))
+    plain = C.compare_policies(logs, b, "ips", propensity_col="propensity_A", with_ci=False)
+    r = C.compare_policies(logs, b, "ips", nuisance_bundle=bundle, propensity_col="propensity_A", n_boot=10)
+    assert r.v_b == plain.v_b and C.NOT_REUSED in r.inference_warnings and r.notes[-1] in r.trust_notes
+    assert set(r.notes) == {*r.info_notes, *r.diagnostic_warnings, *r.inference_warnings, *r.trust_notes}
+    dr = C.compare_policies(logs, b, "dm", nuisance_bundle=bundle, feature_cols=["age"], n_boot=4)
+    assert math.isclose(dr.v_b, 0.5) and dr.v_b_ci[0] != 0.5 and C.NOT_REUSED in dr.inference_warnings
+    other = N.NuisanceBundle(None, N.OutcomePredictions("cltv", flat, space))
+    with pytest.raises(ValueError, match="cltv"):
+        C.compare_policies(logs, b, "dm", nuisance_bundle=other, with_ci=False)
+    few = N.NuisanceBundle(None, N.OutcomePredictions("accept", F.array(F.lit(0.5)), (0,)))
+    with pytest.raises(ValueError, match="missing actions"):
+        C.compare_policies(logs, b, "dm", nuisance_bundle=few, with_ci=False)
+    with pytest.raises(ValueError, match="every row"):
+        N.validate_outcome_predictions(logs, N.OutcomePredictions("accept", F.array(F.lit(0.5)), space))
+    with pytest.raises(ValueError, match="can't be read"):
+        N.validate_behavior_predictions(logs, N.Propensity(F.col("absent"), None, "external"))
+    with pytest.raises(ValueError, match="required columns are missing"):
+        C.compare_policies(logs, b, "ips", target="absent")
+    assert C.recommended_defaults("dr")["crossfit_recommended_for_estimator"] and lodestar.__version__
+    value = C.estimate_value_with_ci(logs, b, "ips", propensity_col="propensity_A", n_boot=10)
+    assert value["value"] == plain.v_b and value["CI"][0] <= value["CI"][1]
+
+
+def test_out_of_fold_fits_equal_separate_ones(logs):
+    """One pass by fold gives what a fit on the other folds gives; on the driver or distributed."""
+    names, folded = ["loyal", "age", "risk"], logs.withColumn("fold", N.fold_column(F.col("user_id"), 3))
+    for target, binary in (("accept", True), ("cltv", False)):
+        for j, m in enumerate(M.fit_outcomes(folded, names, "a_A", target, 3, binary)):
+            own = M.fit_outcome(folded.filter(F.col("fold") != j), names, "a_A", target, binary)
+            assert np.allclose([m.intercept, *m.slopes, *m.effects], [own.intercept, *own.slopes, *own.effects], rtol=1e-6, atol=1e-8)
+    for j, m in enumerate(M.fit_behaviors(folded, names, "a_A", 3)):
+        own = M.fit_behavior(folded.filter(F.col("fold") != j), names, "a_A")
+        assert np.allclose(m.coefficients, own.coefficients, rtol=1e-6, atol=1e-7)
+    spread, held = M.fit_behavior(logs, names[:1], "a_A", driver_rows=0), M.fit_behavior(logs, names[:1], "a_A")
+    assert np.allclose(spread.coefficients, held.coefficients, atol=1e-7)
+    spread, held = M.fit_binary(logs, names[:1], "a_A", "accept", driver_rows=0), M.fit_binary(logs, names[:1], "a_A", "accept")
+    assert np.allclose([spread.intercept, *spread.slopes], [held.intercept, *held.slopes], atol=1e-7)
 
 
 def test_synthetic_oracle(spark):
