@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,10 +204,39 @@ def test_segments_searched_together_equal_those_searched_alone(texts):
     assert together.cache.keys() >= {pieces.MARK + "ab"}
 
 
+def viterbi(text, lattice):
+    """Score of the best path over all pieces of the model, character by character."""
+    s = pieces.MARK + text.replace(" ", pieces.MARK)
+    best = [0.0] + [-math.inf] * len(s)
+    for j in range(1, len(s) + 1):
+        for i in range(max(0, j - lattice.longest), j):
+            if s[i:j] in lattice.pieces:
+                best[j] = max(best[j], best[i] + lattice.pieces[s[i:j]][1])
+        if s[j - 1] not in lattice.pieces:
+            best[j] = max(best[j], best[j - 1] + lattice.unknown_score)
+    return best[-1]
+
+
+def test_best_path_over_the_real_model(texts):
+    lattice = pieces.PieceLattice.load(pieces.model_path())
+    score_of = {i: s for i, s in lattice.pieces.values()}
+    assert math.isclose(sum(math.exp(s) for s in score_of.values()), 1.0)
+    own = [t for t in texts if t] + ["日本 x" * 40, "nospace" * 300]
+    if os.path.isdir("/root/testdata/sf0.001"):
+        own += [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() if t and len(t) < 5000]
+    for text, ways in zip(own, lattice.encode_all(own, 3)):
+        assert math.isclose(ways[0][0], viterbi(text, lattice), rel_tol=1e-9)
+        ids = np.frombuffer(ways[0][1], "<u4").tolist()
+        if all(i in score_of for i in ids):
+            assert math.isclose(sum(score_of[i] for i in ids), ways[0][0], rel_tol=1e-9)
+
+
 def test_pieces_round_trip(spark, docs, texts):
     out = pieces.encode_texts(docs, pieces.model_path(), carry=["doc_id", "text"], keep_ids=True)
     rows = out.collect()
     assert all(r["round_trip"] for r in rows) and len(rows) == len(texts) + 1
+    marked = spark.createDataFrame([(1, "a▁b"), (2, "a b")], "doc_id long, text string")
+    assert {r["doc_id"]: r["round_trip"] for r in pieces.encode_texts(marked, pieces.model_path()).collect()} == {1: False, 2: True}
     empty = [r for r in rows if not r["text"]]
     assert all(r["n_pieces"] == 0 and len(r["n_best"]) == 1 for r in empty)
     assert all(r["n_best"] == sorted(r["n_best"], key=lambda w: -w["score"]) for r in rows)
@@ -393,23 +424,59 @@ def test_automaton_walks_states_and_failure_arcs():
         assert math.isclose(got, total, rel_tol=1e-9)
 
 
-def test_hilbert_curve_is_a_walk():
-    cells = np.array(list(itertools.product(range(8), repeat=3)))
-    walk = cells[np.argsort(hilbert.hilbert_index(cells, 3))]
-    assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
+def test_hilbert_curve_is_a_walk(spark):
+    cells = spark.range(8).withColumnRenamed("id", "a").crossJoin(spark.range(8).withColumnRenamed("id", "b")).crossJoin(spark.range(8).withColumnRenamed("id", "c"))
+    rows = hilbert.curve_index(cells, [F.col("a"), F.col("b"), F.col("c")], 3).toPandas().sort_values("curve_index")
+    assert rows.curve_index.tolist() == list(range(512))
+    assert (np.abs(np.diff(rows[["a", "b", "c"]].to_numpy(), axis=0)).sum(1) == 1).all()
 
 
-def test_shards(spark, docs):
-    light = docs.select("doc_id", "lang", "source", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+def test_shards(spark, docs, tmp_path):
+    light = docs.select("doc_id", "lang", "source", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.lit("mine").alias("shard"), F.lit(1).alias("total"))
     light = light.union(light.filter("doc_id = 3")).union(light.filter("doc_id = 3"))
-    dims = [hilbert.ordinal(light, "lang"), hilbert.ordinal(light, "source"), hilbert.magnitude(F.col("size"))]
-    out = hilbert.shard_by_curve(light, dims, ["doc_id", "size"], shards=5).toPandas()
-    sizes = out.groupby("shard").size()
-    assert len(out) == light.count() and sizes.max() - sizes.min() <= 1 and set(sizes.index) == set(range(5))
-    assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
-    ordered = out.sort_values(["shard", "slot"]).curve_index
-    assert ordered.is_monotonic_increasing
-    assert hilbert.shard_by_curve(light.limit(0), dims, ["doc_id"]).count() == 0
+    placed = hilbert.with_ordinal(hilbert.with_ordinal(light, "lang", "x"), "source", "y")
+    dims = [F.col("x"), F.col("y"), hilbert.magnitude(F.col("size"))]
+    out = hilbert.shard_by_curve(placed, dims, ["doc_id", "size"], shards=5)
+    found = out.toPandas()
+    sizes = found.groupby("shard").size()
+    assert len(found) == light.count() and sizes.max() - sizes.min() <= 1 and set(sizes.index) == set(range(5)) and (found.total == 1).all()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in found.groupby("shard"))
+    assert found.sort_values(["shard", "slot"]).curve_index.is_monotonic_increasing
+    assert hilbert.shard_by_curve(placed.limit(0), dims, ["doc_id"]).count() == 0
+    hilbert.write_shards(out, f"file://{tmp_path}/shards")
+    back = spark.read.parquet(f"file://{tmp_path}/shards").toPandas()
+    assert sorted(zip(back.shard, back.slot)) == sorted(zip(found.shard, found.slot))
+
+
+def test_ordinals_follow_one_rule(spark):
+    for n in (1, 7, 255, 500):
+        rows = spark.createDataFrame([(f"v{i:04d}",) for i in range(n)] + [(None,)], "v string")
+        got = {r["v"]: r["cell"] for r in hilbert.with_ordinal(rows, "v", "cell").collect()}
+        assert got.pop(None) == 0 and [got[k] for k in sorted(got)] == [1 + i * 255 // n for i in range(n)]
+
+
+def write_tables(path, **tables):
+    for name, (rows, schema) in tables.items():
+        pq.write_table(pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema), f"{path}/{name}.parquet")
+
+
+DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int32())])
+
+
+def test_shard_query_prunes(spark, tmp_path):
+    """The contract's columns by brute force, and how many shards a filter on each dimension must read."""
+    rnd = random.Random(4)
+    rows = [(i, None if i == 7 else "ä" * rnd.randrange(1, 2 ** rnd.randrange(2, 12)), rnd.choice(["en", "de", "fr", None]), f"s{rnd.randrange(6)}", 1) for i in range(2400)]
+    write_tables(tmp_path, documents=(rows, DOCUMENTS))
+    out = hilbert.op8_hilbert(spark, str(tmp_path)).toPandas()
+    own = {i: (t or "").encode() for i, t, *_ in rows}
+    assert all(s == len(own[i]) + 8 and c == zlib.crc32(own[i]) for i, s, c in zip(out.doc_id, out["size"], out.text_crc32))
+    assert set(out.law) == {"rows"} and out.grown_shard.isna().all() and (out.groupby("shard").size() == 100).all()
+    meta = {i: (lang, source) for i, _, lang, source, _ in rows}
+    out["lang"], out["source"] = [meta[i][0] for i in out.doc_id], [meta[i][1] for i in out.doc_id]
+    read = lambda mask: out[mask].shard.nunique()
+    langs, sources = [read(out.lang == x) for x in ("en", "de", "fr")], [read(out.source == f"s{k}") for k in range(6)]
+    assert max(langs) <= 16 and np.mean(sources) <= 14 and read(out["size"] > 2000) <= 18
 
 
 def test_language_id(spark):
