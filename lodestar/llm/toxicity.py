@@ -1,25 +1,31 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers read the words of a clause from left to right:
+Five transducers read the words of a clause from left to right. Each takes a word's class with the weight
+emitted so far, and passes a weight on:
 
 * *insult*   emits the weight of an insulting word
-* *threat*   emits a weight when a threatening verb is followed by a target within the clause
-* *target*   multiplies what follows or precedes a target ("you", "they") within ``REACH`` words
-* *negation* divides what stands within ``REACH`` words after "not", "never", ..
-* *reported* divides what stands in a clause after a verb of saying with "that" or a quotation mark
-
-They are composed into one deterministic machine whose states are the tuples of their states; a
-clause's score is the sum of what the machine emits for its words, so matched clauses count, not
-isolated words. Clauses end at ``. ! ? ; :`` and line feeds. A document's score is a logistic function
-of the logarithm of its summed clause weights.
+* *threat*   adds a weight when a target follows a threatening verb within the clause
+* *target*   raises what stands within ``REACH`` words after a target ("you", "they"), and at a target adds
+  half of the insults up to ``REACH`` words before it
+* *negation* lowers what stands within ``REACH`` words after "not", "never", ..
+* *reported* lowers what stands in a clause after a verb of saying with "that", a colon or a quotation mark
+
+They are composed, in this order, into one deterministic machine whose states are the tuples of their
+states (weights are rounded to quarters, so states are finite); a clause's score is the sum of what the
+machine emits, so matched clauses count, not isolated words. Clauses end at ``. ! ? ;`` and line feeds; a
+colon ends one too unless a verb of saying stands before it. A document's score is a logistic function of
+the logarithm of its summed clause weights.
 
 The insult weights are learned: terms are letter words and word beginnings of 4 to 7 letters, which
-catch inflected and unseen forms. From a bounded sample of labelled texts (about ``SAMPLE_ROWS`` rows
-of at most ``SAMPLE_BYTES``, chosen by the hash of their id) come, for each term, the numbers of toxic
-and clean *groups* of texts that hold it. A group is the texts with one smallest word hash, so a
-hundred copies of one text do not make its words look toxic. Terms enter by a likelihood-ratio test
-(``LEAST_GAIN`` nats, precision of ``LEAST_PRECISION``) and weigh their log odds. A short list of
-general insults and threats is known without labels and drops out where the sample speaks against it.
+catch inflected and unseen forms. From a bounded sample of labelled texts (up to about ``SAMPLE_ROWS`` rows
+of each label, of any length; of texts over ``SAMPLE_BYTES``, whole clauses from all over, chosen by the hash
+of their place, stand for the text) come, for each term, the numbers of toxic and clean *groups* of texts
+that hold it. A group is the texts with one smallest word hash, so a hundred copies of one text do not
+make its words look toxic. Terms enter by a likelihood-ratio test (at most ``FALSE_TERMS`` false ones are
+expected among all that are tested; precision of ``LEAST_PRECISION``) and weigh their log odds. A short list of general insults and threats is known
+without labels and drops out where the sample speaks against it. Targets and negations are learned the
+same way, in any language: a word that stands before insults more often than its number in these texts
+explains, and does so in toxic groups and not in clean ones, is a target; one of the opposite kind a negation. The score's base rate is that of all labelled rows.
 
 The lexicon is bounded by the sample, so it is sent to every task. Words are matched by sorted
 hashes, whole texts at a time; only clauses with a match are read by the machine.
@@ -27,7 +33,8 @@ hashes, whole texts at a time; only clauses with a match are read by the machine
 Edge cases: null and empty texts have no match and get the score of a text without one. Rows with a
 null label are not learned from; a null id falls in fold 0 (held out). Without labels, or with one
 class only, the general list and a fixed calibration are used. Repeated rows score alike; ids with
-several labels are learned from with each. Empty tables give no rows.
+several labels or texts are learned from with each; rows equal in all three count once. Empty tables give
+no rows.
 """
 
 from __future__ import annotations
@@ -40,17 +47,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.llm.blocks import fold, slices, table
+from lodestar.llm.blocks import fold, mix, released, slices, table
 from lodestar.llm.letters import LetterWords, term_hash
 
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 6_000
 SAMPLE_BYTES = 16_384
 PREFIXES = (4, 5, 6, 7)
-LEAST_GAIN = 15.0
+FALSE_TERMS = 0.05
 LEAST_PRECISION = 0.7
-MAX_TERMS = 4096
 LEAST_TEXTS = 4
 REACH = 3
 
@@ -60,69 +67,99 @@ TARGETS = ("you", "your", "yourself", "he", "she", "they", "them", "him", "her",
 NEGATIONS = ("not", "never", "no", "isn", "aren", "wasn", "don", "doesn", "nobody", "hardly", "kein", "nicht", "pas", "jamais", "nunca")
 REPORTS = ("said", "says", "claimed", "claims", "wrote", "called", "reported", "quoted", "alleged", "sagte", "dit", "dijo")
 
-_CLAUSE = re.compile(r"[^.!?;:\n]+")
+_CLAUSE = re.compile(r"[^.!?;\n]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_WORD = re.compile(r"[^\W\d_]+|[\"“”«»]")
+_WORD = re.compile(r"[^\W\d_]+|[:\"“”«»]")
 _QUOTES = frozenset("\"“”«»")
 
 
+THREAT_WEIGHT, BEFORE, AFTER, DENIED, REPORTED = 4.0, 1.5, 0.5, 0.25, 0.3
+#: Weights are multiples of 1 / QUARTERS inside the machine.
+QUARTERS = 4
+
+
 class Transducer:
-    """Deterministic: ``step(state, symbol)`` gives the next state and a factor for what the symbol emits."""
+    """Deterministic: ``step(state, class, level, weight)`` gives the next state and the weight that is passed on."""
 
     def __init__(self, start, step) -> None:
         self.start, self.step = start, step
 
 
 def compose(*parts: Transducer) -> Transducer:
-    """The machine whose states are tuples of the parts' states and whose factors multiply; its arcs are tabled as they are met."""
+    """The machine whose states are tuples of the parts' states, each part reading what the one before it emits; arcs are tabled as they are met."""
     table_: dict = {}
 
-    def step(state, symbol):
-        key = (state, symbol)
+    def step(state, kind: str, level: int):
+        key = (state, kind, level)
         found = table_.get(key)
         if found is None:
-            moves = [p.step(s, symbol) for p, s in zip(parts, state)]
-            found = table_[key] = (tuple(m[0] for m in moves), math.prod(m[1] for m in moves))
+            weight, states = 0.0, []
+            for p, s in zip(parts, state):
+                s, weight = p.step(s, kind, level, weight)
+                states.append(s)
+            found = table_[key] = (tuple(states), weight)
         return found
 
     return Transducer(tuple(p.start for p in parts), step)
 
 
-def _window(opens: str, factor: float, reach: int = REACH) -> Transducer:
-    """Applies the factor to the next ``reach`` symbols after one that opens the window."""
-    return Transducer(0, lambda left, symbol: (reach, 1.0) if symbol == opens else (max(0, left - 1), factor if left else 1.0))
+def _insult(state: int, kind: str, level: int, weight: float) -> tuple[int, float]:
+    return 0, weight + (level / QUARTERS if kind == "insult" else 0.0)
 
 
-def _reported(left: int, symbol: str) -> tuple[int, float]:
-    """0: nothing yet; 1: a verb of saying; 2: inside what is reported."""
-    if symbol == "report":
-        return max(left, 1), 1.0
-    if symbol in ("that", "quote") and left == 1:
-        return 2, 1.0
-    return left, 0.3 if left == 2 else 1.0
+def _threat(left: int, kind: str, level: int, weight: float) -> tuple[int, float]:
+    """Lets a target emit the threat's weight while a threat is pending."""
+    if kind == "threat":
+        return REACH + 1, weight
+    if kind == "target":
+        return 0, weight + (THREAT_WEIGHT if left else 0.0)
+    return (0 if kind == "colon" else max(0, left - 1)), weight
+
 
+def _target(state: tuple, kind: str, level: int, weight: float) -> tuple[tuple, float]:
+    """State: words left of the reach of a target, and the (age, level) of insults that a target may still follow."""
+    left, recent = state
+    if kind == "colon":
+        return (0, ()), weight
+    if kind == "target":
+        return (REACH, ()), weight + AFTER * sum(x for _, x in recent) / QUARTERS
+    recent = tuple((age + 1, x) for age, x in recent if age < REACH)
+    if kind == "insult":
+        return (max(0, left - 1), (*recent, (1, level))), weight * (BEFORE if left else 1.0)
+    return (max(0, left - 1), recent), weight
 
-def _threat(left: int, symbol: str) -> tuple[int, float]:
-    """Lets a target emit the threat's weight while a threat is pending, and nothing otherwise."""
-    if symbol == "threat":
-        return REACH + 1, 0.0
-    if symbol == "target":
-        return 0, 1.0 if left else 0.0
-    return max(0, left - 1), 1.0
 
+def _negation(left: int, kind: str, level: int, weight: float) -> tuple[int, float]:
+    if kind == "negation":
+        return REACH, weight
+    return (0 if kind == "colon" else max(0, left - 1)), weight * (DENIED if left else 1.0)
 
-GRAMMAR = compose(_window("target", 1.5), _window("negation", 0.25, REACH), Transducer(0, _reported), Transducer(0, _threat))
+
+def _reported(state: int, kind: str, level: int, weight: float) -> tuple[int, float]:
+    """0: nothing yet; 1: a verb of saying; 2: inside what is reported."""
+    if state == 2:
+        return 2, weight * REPORTED
+    if kind == "report":
+        return 1, weight
+    if state == 1 and kind in ("that", "quote", "colon"):
+        return 2, weight
+    return (0 if kind == "colon" else state), weight
+
+
+GRAMMAR = compose(Transducer(0, _insult), Transducer(0, _threat), Transducer((0, ()), _target), Transducer(0, _negation), Transducer(0, _reported))
 
 
 class Grammar:
     """A lexicon with the composed machine. words: term -> weight; prefixes: beginning -> weight."""
 
-    def __init__(self, words: dict[str, float], prefixes: dict[str, float], slope: float = 1.0, offset: float = -1.5, threat_weight: float = 4.0) -> None:
-        self.words, self.prefixes, self.slope, self.offset, self.threat_weight = words, prefixes, slope, offset, threat_weight
+    def __init__(self, words: dict[str, float], prefixes: dict[str, float], slope: float = 1.0, offset: float = -1.5, targets: tuple = (), negations: tuple = ()) -> None:
+        self.words, self.prefixes, self.slope, self.offset = words, prefixes, slope, offset
         hits = [term_hash(w, False) for w in (*words, *THREATS)]
         self.word_keys = np.unique(np.array(hits, np.uint64))
-        self.prefix_keys = {n: np.unique(np.array([term_hash(p, True) for p in prefixes if len(p) == n], np.uint64)) for n in sorted({len(p) for p in prefixes})}
-        self.symbol = dict.fromkeys(TARGETS, "target") | dict.fromkeys(NEGATIONS, "negation") | dict.fromkeys(REPORTS, "report") | dict.fromkeys(THREATS, "threat") | {"that": "that"} | dict.fromkeys(_QUOTES, "quote")
+        lengths = sorted({len(p) for p in prefixes})
+        self.prefix_keys = {n: np.unique(np.array([term_hash(p, True) for p in prefixes if len(p) == n], np.uint64)) for n in lengths}
+        kinds = {"target": (*TARGETS, *targets), "negation": (*NEGATIONS, *negations), "report": REPORTS, "threat": THREATS, "that": ("that",), "quote": _QUOTES, "colon": (":",)}
+        self.kind = {word: kind for kind, own in kinds.items() for word in own}
 
     def weight(self, word: str) -> float:
         found = self.words.get(word, 0.0)
@@ -133,19 +170,12 @@ class Grammar:
         return found
 
     def clause(self, text: str) -> float:
-        """Sum of the weights that the machine emits; a target up to REACH words after an insult raises it too."""
-        state, total, recent = GRAMMAR.start, 0.0, []
+        """Sum of the weights that the machine emits."""
+        state, total = GRAMMAR.start, 0.0
         for word in _WORD.findall(text.lower()):
-            weight = self.weight(word)
-            symbol = "insult" if weight else self.symbol.get(word, "other")
-            state, factor = GRAMMAR.step(state, symbol)
-            recent = [(w, n + 1) for w, n in recent if n < REACH]
-            if symbol == "insult":
-                total += weight * factor
-                recent.append((weight * factor, 0))
-            elif symbol == "target":
-                total += self.threat_weight * factor + sum(0.5 * w for w, _ in recent)
-                recent = []
+            level = math.ceil(QUARTERS * self.weight(word))
+            state, emitted = GRAMMAR.step(state, "insult" if level else self.kind.get(word, "other"), level)
+            total += emitted
         return total
 
     def total(self, text: str | None) -> float:
@@ -179,12 +209,17 @@ def _gain(toxic: float, clean: float, rate: float) -> float:
     return (toxic * math.log(toxic / (n * rate)) if toxic else 0.0) + (clean * math.log(clean / (n * (1 - rate))) if clean else 0.0)
 
 
+def least_gain(tests: int) -> float:
+    """Nats that a term must gain: chance alone gains g nats with probability of about exp(-g)."""
+    return math.log(max(1, tests) / FALSE_TERMS)
+
+
 def _terms(words: set[str]) -> set[tuple[str, bool]]:
     return {(w, False) for w in words} | {(w[:n], True) for n in PREFIXES for w in words if len(w) > n}
 
 
-def learn(texts: list[str], labels: list[int]) -> Grammar:
-    """A grammar from labelled texts."""
+def learn(texts: list[str], labels: list[int], rate_of_all: float | None = None) -> Grammar:
+    """A grammar from labelled texts; rate_of_all: the share of toxic rows, if not that of the texts."""
     groups: list[dict[int, bool]] = [{}, {}]
     held: dict[tuple[str, bool], list[set]] = defaultdict(lambda: [set(), set()])
     # only terms of several toxic texts can enter: the groups of others needn't be held
@@ -194,8 +229,7 @@ def learn(texts: list[str], labels: list[int]) -> Grammar:
         found = set(_LETTERS.findall(text.lower()))
         if not found:
             continue
-        long = [w for w in found if len(w) > 5] or list(found)
-        group = min(hash_of(w) for w in long)
+        group = group_of(found)
         groups[label][group] = True
         for t in _terms(found) & often:
             held[t][label].add(group)
@@ -204,11 +238,11 @@ def learn(texts: list[str], labels: list[int]) -> Grammar:
     prefixes: dict[str, float] = {}
     if n_toxic and n_clean:
         rate = n_toxic / (n_toxic + n_clean)
-        scored = {}
+        scored, least = {}, least_gain(len(held))
         for t, (clean, toxic) in held.items():
-            if len(toxic) >= LEAST_TEXTS and len(toxic) >= LEAST_PRECISION * (len(toxic) + len(clean)) and (g := _gain(len(toxic), len(clean), rate)) >= LEAST_GAIN:
+            if len(toxic) >= LEAST_TEXTS and len(toxic) >= LEAST_PRECISION * (len(toxic) + len(clean)) and (g := _gain(len(toxic), len(clean), rate)) >= least:
                 scored[t] = (g, math.log((len(toxic) + 0.5) / (n_toxic + 1)) - math.log((len(clean) + 0.5) / (n_clean + 1)))
-        for (term, prefix), (_, weight) in sorted(scored.items(), key=lambda x: (-x[1][0], -len(x[0][0]), x[0]))[:MAX_TERMS]:
+        for (term, prefix), (_, weight) in sorted(scored.items(), key=lambda x: (-x[1][0], -len(x[0][0]), x[0])):
             (prefixes if prefix else words)[term] = weight
         # a beginning that a single word accounts for says no more than the word
         for p in list(prefixes):
@@ -226,10 +260,46 @@ def learn(texts: list[str], labels: list[int]) -> Grammar:
             words[w] = 3.0
     grammar = Grammar(words, prefixes)
     if n_toxic and n_clean:
-        grammar.slope, grammar.offset = _logistic(np.log1p([grammar.total(t) for t in texts]), np.array(labels, float))
+        grammar = Grammar(words, prefixes, 1.0, -1.5, *_context(grammar, texts, labels))
+        slope, offset = _logistic(np.log1p([grammar.total(t) for t in texts]), np.array(labels, float))
+        own, all_ = np.mean(labels), np.mean(labels) if rate_of_all is None else rate_of_all
+        grammar.slope, grammar.offset = slope, offset + math.log(all_ / (1 - all_)) - math.log(own / (1 - own))
     return grammar
 
 
+def group_of(words: set[str]) -> int:
+    """The texts with one smallest hash of a long word are a group: copies and near copies fall together."""
+    return min(hash_of(w) for w in [w for w in words if len(w) > 5] or words)
+
+
+def _context(grammar: Grammar, texts: list[str], labels: list[int]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(targets, negations): words before insults, more than by chance and in groups of one label, by the test that terms pass."""
+    held: dict[str, list[set]] = defaultdict(lambda: [set(), set()])
+    chance: dict[str, dict[int, float]] = defaultdict(dict)
+    near: list[set] = [set(), set()]
+    for text, label in zip(texts, labels):
+        words = _LETTERS.findall(text.lower())
+        at = [i for i, w in enumerate(words) if grammar.weight(w)]
+        if at:
+            group = group_of(set(words))
+            near[label].add(group)
+            before = {k for i in at for k in range(max(0, i - REACH), i)}
+            for w in {words[k] for k in before}:
+                held[w][label].add(group)
+            for w, n in Counter(words).items():
+                chance[w][group] = max(chance[w].get(group, 0.0), 1.0 - (1.0 - len(before) / len(words)) ** n)
+    n = [max(1, len(x)) for x in near]
+    rate = n[1] / (n[0] + n[1])
+    found: tuple[list, list] = ([], [])
+    least = least_gain(sum(len(c) + len(t) >= LEAST_TEXTS for c, t in held.values()))
+    for w, (clean, toxic) in sorted(held.items()):
+        seen, expected = len(clean) + len(toxic), max(sum(chance[w].values()), 1e-9)
+        close = seen >= LEAST_TEXTS and seen > expected and seen * math.log(seen / expected) - (seen - expected) >= least
+        if close and not grammar.weight(w) and w not in grammar.kind and _gain(len(toxic), len(clean), rate) >= least:
+            found[0 if len(toxic) > rate * (len(toxic) + len(clean)) else 1].append(w)
+    return tuple(found[0]), tuple(found[1])
+
+
 def hash_of(word: str) -> int:
     import zlib
 
@@ -251,15 +321,37 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, -1.5)
 
 
+def thinned(text: str, most: int = SAMPLE_BYTES) -> str:
+    """Whole clauses from all over a text, in their order, of at most ``most`` bytes in all; chosen by the hash of their place."""
+    clauses = _CLAUSE.findall(text)
+    size = np.array([len(c.encode("utf-8", "surrogatepass")) + 2 for c in clauses], np.int64)
+    order = np.argsort(mix(np.arange(len(clauses), dtype=np.uint64) + np.uint64(1)), kind="stable")
+    return ". ".join(clauses[i] for i in sorted(order[np.cumsum(size[order]) <= most].tolist()))
+
+
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            texts = [thinned(t) if len(t.encode("utf-8", "surrogatepass")) > SAMPLE_BYTES else t for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(texts, pa.string())], names=["doc_id", "toxic", "text"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, rows: int = SAMPLE_ROWS) -> Grammar:
-    """Learns from about ``rows`` labelled rows of the training fold; train is a column of docs' doc_id."""
-    usable = labels.filter(train & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    n = usable.count()
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = usable.filter(draw < min(1.0, rows / max(n, 1)))  # about `rows` ids, whatever the input
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-    sample = texts.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "toxic"], kind="stable")
-    return learn(sample["text"].tolist(), [int(x > 0) for x in sample["toxic"]])
+    """Learns from about ``rows`` labelled rows of each label of the training fold; train is a column of docs' doc_id."""
+    usable = labels.filter(train & F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
+    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "toxic"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, rows / max(n_toxic, 1)))).otherwise(min(1.0, rows / max(n_clean, 1)))
+    chosen = usable.filter(draw < share).distinct()  # about `rows` ids of each label, whatever the input
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
+    drawn = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(released(_thin), "doc_id long, toxic int, text string")
+    # an id may have many texts: of each label at most 2 * rows rows come to the driver
+    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
+    drawn = drawn.dropDuplicates().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * rows).drop("r")
+    sample = drawn.toPandas().sort_values(["doc_id", "toxic", "text"], kind="stable")
+    rate = n_toxic / (n_toxic + n_clean) if n_toxic and n_clean else None
+    return learn(sample["text"].tolist(), sample["toxic"].tolist(), rate)
 
 
 def _score(grammar: Grammar):
@@ -275,7 +367,7 @@ def _score(grammar: Grammar):
 def score_documents(docs: DataFrame, grammar: Grammar, held: Column) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs (doc_id, text)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_score(grammar), "doc_id long, held_out boolean, score double, predicted int")
+    return source.mapInArrow(released(_score(grammar)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op3_pattern_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,10 +146,70 @@ def test_toxicity_grammar():
     assert g.total('she said that you idiot') < g.total("you idiot")
     assert g.total("i will kill you") > 0 == g.total("i will kill time")
     assert g.total("not bad. an idiot") == g.total("an idiot")
+    assert g.total('she said: "you idiot"') < 0.5 * g.total("you idiot") and g.total("not this: idiot") == g.total("idiot")
+    assert g.total("idiot, you") == 1.5 * g.total("idiot") and g.total("he said that i will kill you") < g.total("i will kill you")
     unlabelled = toxicity.learn([], [])
     assert unlabelled.scores(pa.array(["you idiot", "hello"]))[0] > 0.5
 
 
+def test_toxicity_learns_context_in_any_language():
+    rnd = random.Random(8)
+    texts, labels = [], []
+    for i in range(400):
+        words = ["wort" + "".join(rnd.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(25)]
+        at = rnd.randrange(3, 25)
+        toxic = i % 2
+        if i % 4 < 2:
+            words[at - 1 : at + 1] = ["tuzak" if toxic else "nimal", "schnurk"]
+        elif toxic:
+            words[at] = "schnurk"
+        texts.append(" ".join(words))
+        labels.append(toxic)
+    known = toxicity.Grammar({"schnurk": 3.0}, {})
+    assert toxicity._context(known, texts, labels) == (("tuzak",), ("nimal",))
+    g = toxicity.Grammar({"schnurk": 3.0}, {}, targets=("tuzak",), negations=("nimal",))
+    assert g.total("tuzak schnurk") > g.total("schnurk") > g.total("nimal schnurk")
+
+
+def test_toxicity_learns_from_long_texts_and_rare_labels(spark):
+    rows = [(i, (t + "\n") * 200, y) for i, t, y in toxic_corpus(240)]
+    assert min(len(t) for _, t, _ in rows) > toxicity.SAMPLE_BYTES
+    d = spark.createDataFrame([r[:2] for r in rows] + [(5, rows[5][1]), (5, "another text of the same id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    g = toxicity.fit(d, labels, F.lit(True))
+    assert any(p.startswith("zork") for p in g.prefixes)
+    assert [x > 0.5 for x in g.scores(pa.array(["wortaa zorkish.\n" * 100, "wortaa wortbb.\n" * 100]))] == [True, False]
+    thin = toxicity.thinned(rows[0][1])
+    assert len(thin.encode()) <= toxicity.SAMPLE_BYTES and set(thin.split(". ")) <= set(toxicity._CLAUSE.findall(rows[0][1]))
+
+
+LABELS = pa.schema([("doc_id", pa.int64()), ("quality", pa.int64()), ("toxic", pa.int64())])
+
+
+def test_toxicity_and_language_queries(spark, tmp_path):
+    """The contracts of op3 and op9: columns, folds and ranges, and scores against the fitted model applied row by row."""
+    rnd = random.Random(2)
+    rows = [(i, t, None, "s", 1) for i, t, _ in toxic_corpus()] + [(900, None, "aa", "s", 1), (901, "", None, "s", 1), (902, "12 34", "aa", "s", 1), (None, "idiot", None, None, None)]
+    rows += [(1000 + i, " ".join(rnd.choice(["kalo", "milo", "tuka"] if i % 2 else ["schung", "verich"]) for _ in range(20)), "aa" if i % 2 else "bb", "s", 1) for i in range(200)]
+    write_tables(tmp_path, documents=(rows, DOCUMENTS), labels=([(i, 1, y) for i, _, y in toxic_corpus()] + [(900, 1, 0), (901, 0, None)], LABELS))
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "labels"))
+    fold_of = lambda i: zlib.crc32(str(i).encode()) % 5 == 0 if i is not None and i == i else True
+    out = toxicity.op3_pattern_grammar(spark, str(tmp_path)).toPandas()
+    grammar = toxicity.fit(docs, labels, F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5, F.lit(0)) != 0)
+    text = {i: t for i, t, *_ in rows}
+    assert len(out) == len(rows) and all(h == fold_of(None if i != i else int(i)) for i, h in zip(out.doc_id, out.held_out))
+    for i, score, predicted in zip(out.doc_id, out.score, out.predicted):
+        own = grammar.probability(np.array([grammar.total(text[None if i != i else int(i)])]))[0]
+        assert math.isclose(score, own, rel_tol=1e-9) and predicted == (score >= 0.5)
+    out = langid.op9_kneser_ney(spark, str(tmp_path)).toPandas()
+    assert len(out) == len(rows) and out.score.between(0, 1).all() and set(out.lang_pred) == {"aa", "bb", "und"}
+    assert all(h == fold_of(None if i != i else int(i)) for i, h in zip(out.doc_id, out.held_out))
+    assert set(out[out.doc_id.isin([900, 901, 902])].lang_pred) == {"und"}
+    truth = {i: lang for i, _, lang, *_ in rows if i is not None and i >= 1000}
+    own = out[out.doc_id >= 1000]
+    assert all(truth[int(i)] == x for i, x in zip(own.doc_id, own.lang_pred))
+
+
 def test_toxicity_query_shape(spark, docs):
     rows = toxic_corpus()
     d = spark.createDataFrame([(r[0], r[1]) for r in rows] + [(None, None)], "doc_id long, text string")
