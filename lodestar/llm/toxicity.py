@@ -220,43 +220,41 @@ def _terms(words: set[str]) -> set[tuple[str, bool]]:
 
 def learn(texts: list[str], labels: list[int], rate_of_all: float | None = None) -> Grammar:
     """A grammar from labelled texts; rate_of_all: the share of toxic rows, if not that of the texts."""
-    groups: list[dict[int, bool]] = [{}, {}]
-    held: dict[tuple[str, bool], list[set]] = defaultdict(lambda: [set(), set()])
-    # only terms of several toxic texts can enter: the groups of others needn't be held
+    members: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for i, (text, label) in enumerate(zip(texts, labels)):
+        if found := set(_LETTERS.findall(text.lower())):
+            members[(label, group_of(found))].append(i)
+    # only terms of several toxic texts can enter: others needn't be counted
     often = Counter(t for text, label in zip(texts, labels) if label for t in _terms(set(_LETTERS.findall(text.lower()))))
     often = {t for t, n in often.items() if n >= LEAST_TEXTS} | {(w, False) for w in INSULTS}
-    for text, label in zip(texts, labels):
-        found = set(_LETTERS.findall(text.lower()))
-        if not found:
-            continue
-        group = group_of(found)
-        groups[label][group] = True
-        for t in _terms(found) & often:
-            held[t][label].add(group)
-    n_toxic, n_clean = len(groups[1]), len(groups[0])
+    held: tuple[Counter, Counter] = (Counter(), Counter())  # groups of each label by term
+    for (label, _), own in members.items():
+        held[label].update(_terms({w for i in own for w in _LETTERS.findall(texts[i].lower())}) & often)
+    n_toxic = sum(label for label, _ in members)
+    n_clean = len(members) - n_toxic
     words: dict[str, float] = {}
     prefixes: dict[str, float] = {}
     if n_toxic and n_clean:
         rate = n_toxic / (n_toxic + n_clean)
-        scored, least = {}, least_gain(len(held))
-        for t, (clean, toxic) in held.items():
-            if len(toxic) >= LEAST_TEXTS and len(toxic) >= LEAST_PRECISION * (len(toxic) + len(clean)) and (g := _gain(len(toxic), len(clean), rate)) >= least:
-                scored[t] = (g, math.log((len(toxic) + 0.5) / (n_toxic + 1)) - math.log((len(clean) + 0.5) / (n_clean + 1)))
+        scored, least = {}, least_gain(len(often))
+        for t in often:
+            toxic, clean = held[1][t], held[0][t]
+            if toxic >= LEAST_TEXTS and toxic >= LEAST_PRECISION * (toxic + clean) and (g := _gain(toxic, clean, rate)) >= least:
+                scored[t] = (g, math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1)))
         for (term, prefix), (_, weight) in sorted(scored.items(), key=lambda x: (-x[1][0], -len(x[0][0]), x[0])):
             (prefixes if prefix else words)[term] = weight
         # a beginning that a single word accounts for says no more than the word
         for p in list(prefixes):
-            support = len(held[(p, True)][1])
-            if any(w.startswith(p) and len(held[(w, False)][1]) >= 0.9 * support for w in words):
+            support = held[1][(p, True)]
+            if any(w.startswith(p) and held[1][(w, False)] >= 0.9 * support for w in words):
                 del prefixes[p]
         # of nested beginnings with the same texts the longest is the safest
         for p in sorted(prefixes, key=len):
-            support = len(held[(p, True)][1])
-            if any(q != p and q.startswith(p) and len(held[(q, True)][1]) >= 0.98 * support for q in prefixes):
+            support = held[1][(p, True)]
+            if any(q != p and q.startswith(p) and held[1][(q, True)] >= 0.98 * support for q in prefixes):
                 del prefixes[p]
     for w in INSULTS:
-        clean, toxic = held.get((w, False), [set(), set()])
-        if w not in words and len(clean) <= len(toxic):
+        if w not in words and held[0][(w, False)] <= held[1][(w, False)]:
             words[w] = 3.0
     grammar = Grammar(words, prefixes)
     if n_toxic and n_clean:
