@@ -13,7 +13,11 @@ anti-join of two tables with one row per hash, both combined before the shuffle)
 
 Rendering groups by (conversation, part), a part being ``PART`` turn numbers, so even a conversation
 with a third of all rows is rendered by many tasks; the parts joined in order are its text. Each
-message becomes ``<|role|>\\ntext<|end|>\\n``.
+message becomes ``<|role|>\\ntext<|end|>\\n``. The unit of rendering is the messages of at most ``PART`` turn
+numbers of one conversation. A log that numbers none of its turns has all messages of a conversation under
+turn -1, so they are one unit and are held by one task: such a log should be numbered first. The join of
+rows with the kept conversations is by conversation; one with a large share of all rows is split by
+adaptive execution.
 
 Edge cases: rows without a conversation id belong to none and are left out. A null turn number counts
 as turn -1, a null role as ``unknown``, a null text as empty. Repeated rows are one message; several

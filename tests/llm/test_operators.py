@@ -107,8 +107,21 @@ def test_bounds_hold_and_leave_few():
 
 def test_line_rules(spark, docs):
     plain = docs.drop("kept", "score")
-    table = pa.Table.from_pylist([{"doc_id": r["doc_id"], "text": r["text"]} for r in plain.collect() if r["text"] is None or " " not in r["text"]], schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
-    same(quality.judge_documents(plain.filter("text IS NULL OR NOT contains(text, ' ')"), carry=["doc_id"]), quality.OP2_SQL, documents=table)
+    rows = [{"doc_id": r["doc_id"], "text": r["text"]} for r in plain.collect()]
+    extra = [
+        "Skip to content\nAll rights reserved.\n" + "a fine line of words, that ends. " * 20,
+        " ".join(f"u{i}" for i in range(30)) + "\n" + "fine words, here. " * 30,
+        "# * $ 1\n\n# * $ 1\n" + " ".join(f"ö{i}," for i in range(25)),
+        "tick tock " * 9 + "\n" + " ".join(f"v{i}," for i in range(60)),
+        "BUY! BUY! NOW! GO!\n" * 3,
+    ]
+    rows += [{"doc_id": 800 + i, "text": t} for i, t in enumerate(extra)]
+    kind = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    every = spark.createDataFrame([tuple(r.values()) for r in rows], "doc_id long, text string")
+    judged = quality.judge_documents(every, carry=["doc_id"])
+    same(judged, quality.OP2_SQL, documents=pa.Table.from_pylist(rows, schema=kind))
+    fired = judged.agg(*[F.sum(f"lines_{r}").alias(r) for r in quality.RULES]).first()
+    assert all(fired[r] for r in quality.RULES)
     assert quality.judge_documents(docs.limit(0), carry=["doc_id"]).count() == 0
     good = "A clean line of words stands here, and it ends well.\n" * 1 + " ".join(f"w{i}," for i in range(30))
     text, lost, failed, repeated = quality.clean_text(good + "\nhome | news | shop\n!!!! BUY!! NOW!!!!\n")
@@ -226,10 +239,11 @@ def test_toxicity_query_shape(spark, docs):
 def test_snapshot_collapse(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"), (3, 2, "user", "c"), (4, 0, "user", "a"), (4, 1, "assistant", "x"), (5, 0, "user", "a"), (5, 1, "assistant", "x"), (None, 0, "user", "z"), (6, None, None, None), (7, 0, "user", "a"), (7, 1, "assistant", "bb")]
     rows += [(8, t, "user", f"m{t}") for t in range(2500)] + [(9, t, "user", f"m{t}") for t in range(1100)]
+    rows += [(10, None, "user", f"n{k}") for k in range(3000)] + [(11, None, "user", f"n{k}") for k in range(3000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = chat.collapse_and_render(df)
     same(out, chat.OP4_SQL, conversations=pa.Table.from_pylist([{"conv_id": a, "turn": b, "role": c, "text": d} for a, b, c, d in rows]))
-    assert {r["conv_id"] for r in out.collect()} == {3, 4, 6, 7, 8}
+    assert {r["conv_id"] for r in out.collect()} == {3, 4, 6, 7, 8, 10}
     assert chat.collapse_and_render(df.limit(0)).count() == 0
 
 
@@ -648,4 +662,14 @@ def test_chunked_encoder_equals_the_library():
         assert np.frombuffer(e.encode(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, s
 
 
+def test_encoder_equals_the_library_on_random_texts():
+    from tokenizers import Tokenizer
 
+    t = Tokenizer.from_file(packing.vocabulary_path())
+    t.encode_special_tokens = True
+    e = packing.Encoder(packing.vocabulary_path())
+    rnd = random.Random(11)
+    signs = list("abcdeXYZ019 '.,!?-_#\n\t\r\x0b\xa0éßñ\u0301\u200b日本語🎉👩\u200d👩") + ["'s", "'LL", "  ", "\n\n", "<|endoftext|>", " the", "ing", "123456"]
+    for _ in range(3000):
+        s = "".join(rnd.choice(signs) for _ in range(rnd.randrange(40)))
+        assert np.frombuffer(e.encode(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, s
