@@ -186,13 +186,19 @@ def fit_linear(df: DataFrame, features: Sequence[str], action: str, target: str)
     return linear_from(features, outside(moments(df, features, action, target), None))
 
 
-def newton(step, size: int, penalised: np.ndarray, max_iter: int = 50, tol: float = 1e-9) -> np.ndarray:
-    """Minimises log-loss + half the squared norm of the penalised coordinates; step(b) -> (loss, gradient, Hessian)."""
+def newton(step, size: int, penalised: np.ndarray, max_iter: int = 50, tol: float = 1e-9, shifts: np.ndarray | None = None) -> np.ndarray:
+    """Minimises log-loss + half the squared norm of the penalised coordinates; step(b) -> (loss, gradient, Hessian).
+
+    shifts: directions (columns) along which the loss is constant, so that the sums hold only rounding errors
+    there, which grow with the rows: they get a curvature of the Hessian's own size, and b stays where it began.
+    """
     b = np.zeros(size)
+    held = np.zeros((size, size)) if shifts is None else shifts @ shifts.T
     loss, g, h = step(b)
     value = loss
     for _ in range(max_iter):
         g, h = g + penalised * b, h + np.diag(penalised) + 1e-10 * np.eye(size)
+        h += held * max(np.trace(h) / size, 1e-10)
         move = np.linalg.solve(h, g)
         t = 1.0
         while True:
@@ -342,7 +348,8 @@ def behavior_from(features: Sequence[str], by_action: dict, groups: Groups, with
         t = groups.total(list(by_action), 1 + size + size * size, of_rows, without)
         return t[0], t[1 : size + 1], t[size + 1 :].reshape(size, size)
 
-    beta = newton(step, k * d, np.tile(np.concatenate([[0.0], np.ones(d - 1)]), k)).reshape(k, d)
+    shifts = np.tile(np.eye(d), (k, 1))  # the same change in every class; the penalty alone puts the slopes' sum at zero
+    beta = newton(step, k * d, np.tile(np.concatenate([[0.0], np.ones(d - 1)]), k), shifts=shifts).reshape(k, d)
     beta[:, 0] -= beta[:, 0].mean()  # a common intercept changes no probability: zero makes the fit unique
     return BehaviorModel(tuple(features), tuple(by_action), scaler, tuple(tuple(map(float, r)) for r in beta))
 

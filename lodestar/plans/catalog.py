@@ -516,7 +516,12 @@ def refit_bootstrap_dm(spark, d):
 
 
 # logistic models have no closed form, but their optimum is known: residuals add up to 0 where a coefficient is
-# free, and to its negative where it is penalised
+# free, and to its negative where it is penalised; equal rows are counted first, as the rounding errors of a sum
+# over single rows grow with the table
+
+
+def equal_rows(e: DataFrame, *keys: str) -> DataFrame:
+    return e.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(sql_e("SELECT a AS action, round(count(*) / CAST((SELECT count(*) FROM s) AS DOUBLE), 6) AS mean_p, CAST(0.0 AS DOUBLE) AS slope_residual FROM s GROUP BY a"))
@@ -525,8 +530,9 @@ def lr_behavior_optimum(spark, d):
     e = view_e(spark, d)
     m = fit_behavior(e, ["k"], "a")
     z, p = m.scaler.columns(m.features)[0], m.probs()
-    sums = [F.struct(F.avg(F.element_at(p, i + 1)).alias("mean_p"), F.sum((F.element_at(p, i + 1) - (F.col("a") == c).cast("double")) * z).alias("g")).alias(c) for i, c in enumerate(m.classes)]
-    found = e.agg(*sums).first()
+    q = [F.element_at(p, i + 1) for i in range(len(m.classes))]
+    sums = [F.struct((F.sum(x * F.col("n")) / F.sum("n")).alias("mean_p"), F.sum((x - (F.col("a") == c).cast("double")) * z * F.col("n")).alias("g")).alias(c) for x, c in zip(q, m.classes)]
+    found = equal_rows(e, "k", "a").agg(*sums).first()
     rows = [(c, found[c]["mean_p"], abs(found[c]["g"] + row[1])) for c, row in zip(m.classes, m.coefficients)]
     return rounded(spark.createDataFrame(rows, "action string, mean_p double, slope_residual double"))
 
@@ -537,9 +543,9 @@ def lr_outcome_optimum(spark, d):
     e = view_e(spark, d).withColumn("big", (F.col("reward") > 50).cast("int"))
     m = fit_binary(e, ["k"], "a", "big")
     mu, z = m.mu_at(F.col("a")), m.scaler.columns(m.features)[0]
-    left = mu - F.col("big")
-    sums = [F.avg(mu).alias("mean_p"), F.sum(left * z).alias("g"), *[F.sum(F.when(F.col("a") == c, left).otherwise(0.0)).alias(f"e_{c}") for c in m.actions]]
-    found = e.agg(*sums).first()
+    left = (mu - F.col("big")) * F.col("n")
+    sums = [(F.sum(mu * F.col("n")) / F.sum("n")).alias("mean_p"), F.sum(left * z).alias("g"), *[F.sum(F.when(F.col("a") == c, left).otherwise(0.0)).alias(f"e_{c}") for c in m.actions]]
+    found = equal_rows(e, "k", "a", "big").agg(*sums).first()
     effect = max(abs(found[f"e_{c}"] + b) for c, b in zip(m.actions, m.effects))
     row = (found["mean_p"], abs(found["g"] + m.slopes[0]), effect)
     return rounded(spark.createDataFrame([row], "mean_p double, slope_residual double, effect_residual double"))

@@ -15,7 +15,7 @@ from lodestar.operators import diagnostics as D
 from lodestar.operators import estimators as E
 from lodestar.operators import models as M
 from lodestar.operators import nuisance as N
-from lodestar.operators.models import fit_behavior, fit_binary, fit_linear
+from lodestar.operators.models import Moments, behavior_from, fit_behavior, fit_binary, fit_linear
 from lodestar.operators.nuisance import balanced_folds, fold_column, resolve_propensity
 from lodestar.operators.refit import refit_replicates
 from lodestar.plans import compare as C
@@ -261,6 +261,28 @@ def test_compare(logs, method, tmp_path):
     assert "Метрика: x" in decision_summary(r, "x")
 
 
+@pytest.mark.parametrize("per_group", [12_000, 72_000])  # 500 groups: 6 and 36 million rows
+def test_behavior_fit_of_many_rows_in_any_order(per_group):
+    rnd = np.random.default_rng(3)
+    a, x = (v.ravel() for v in np.indices((5, 100)))
+    n = rnd.poisson(per_group, len(a)).astype(float)
+    of = lambda own: Moments(n[own].sum(), np.array([n[own] @ x[own] / n[own].sum()]), np.array([[n[own] @ (x[own] - n[own] @ x[own] / n[own].sum()) ** 2]]))
+    by_action = {c: of(a == c) for c in range(5)}
+    for _ in range(20):
+        order, passes = rnd.permutation(len(a)), []
+
+        class Held:
+            def total(self, classes, size, of_rows, without):
+                passes.append(1)
+                return of_rows(x[order, None].astype(float), a[order], n[order], np.zeros(len(n)))
+
+        m = behavior_from(["x"], by_action, Held())
+        z, coef = (x - m.scaler.mean[0]) / m.scaler.scale[0], np.array(m.coefficients)
+        p = np.exp(coef[:, :1] + coef[:, 1:] * z)
+        away = (p / p.sum(0) - np.eye(5)[:, a]) * n
+        assert len(passes) < 12 and np.abs(away @ z + coef[:, 1]).max() < 1e-7 and np.abs(away.sum(1)).max() < 1e-7
+
+
 @pytest.mark.parametrize("method, target, estimated", [("dm", "cltv", False), ("dr", "accept", True), ("sndr", "cltv", True), ("switch_dr", "accept", False), ("snips", "accept", True)])
 def test_refitted_replicates_equal_single_fits(spark, logs, method, target, estimated):
     n_boot = 3
