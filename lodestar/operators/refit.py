@@ -49,7 +49,7 @@ class Block:
 
     def __init__(self, part: pa.RecordBatch, n_boot: int, weighted: bool) -> None:
         n = part.num_rows
-        table = lambda c: np.stack(part.column(c).to_numpy(zero_copy_only=False)).astype(float)
+        table = lambda c: part.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
         x, self.pb = table("x"), table("pb")
         self.a = part.column("a").to_numpy(zero_copy_only=False).astype(int)
         self.y = part.column("y").to_numpy(zero_copy_only=False).astype(float)
@@ -62,7 +62,8 @@ class Block:
         self.y[no_y], x[bad], self.pb[bad], self.taken[bad], self.w[bad | np.isnan(self.w)] = 0, 0, 0, 0, 0
         self.z = np.hstack([np.ones((n, 1)), x, np.eye(self.pb.shape[1])[self.a]])
         self.features = 1 + x.shape[1]
-        self.c = np.frombuffer(b"".join(part.column("counts").to_pylist()), np.uint8).reshape(n, n_boot).astype(float)
+        counts = part.column("counts").cast(pa.binary(n_boot))
+        self.c = np.frombuffer(counts.buffers()[1], np.uint8)[counts.offset * n_boot :][: n * n_boot].reshape(n, n_boot).astype(float)
 
 
 def _squares(z: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.contract import BanditSchema, LoggedBandit, bad_propensity, infer_features, is_binary, is_null_or_nan
@@ -55,8 +56,8 @@ def view_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.col("event_type").alias("a"), F.col("value").alias("reward"), F.get_json_object("props", "$.k").cast("int").alias("k"))
     e = e.withColumn("cx", F.floor(F.col("k") / 20).cast("int")).withColumn("ab", F.element_at(P.action_array(SPACE), F.pmod("k", F.lit(5)) + 1))
     cells = e.groupBy("cx", "a").agg(F.count(F.lit(1)).alias("n"))
-    totals = cells.groupBy("cx").agg(F.sum("n").alias("m"))
-    cells = cells.join(totals, "cx").select("cx", "a", (F.col("n") / F.col("m")).alias("p_logged"))
+    total = F.sum("n").over(W.partitionBy("cx"))  # over the few cells, so that they are counted once
+    cells = cells.select("cx", "a", (F.col("n") / total).alias("p_logged"))
     return e.join(F.broadcast(cells), ["cx", "a"])
 
 
@@ -511,7 +512,8 @@ rep AS (SELECT rw.b, avg(0.75 * i + 0.05 * si + sl * k) AS v FROM rw JOIN ri ON
 def refit_bootstrap_dm(spark, d):
     """DM with least squares fitted again in every replicate."""
     options = {"action_col": "a", "feature_cols": ["k"], "action_space": SPACE, "cluster_col": "user_id"}
-    r = C.compare_policies(view_e(spark, d), policy_b(), "dm", "reward", n_boot=8, **options)
+    e = B.cut(view_e(spark, d).select("user_id", "a", "reward", "k", "ab"))  # several passes read it
+    r = C.compare_policies(e, policy_b(), "dm", "reward", n_boot=8, **options)
     return rounded(spark.createDataFrame([(r.v_b, *r.v_b_ci)], "v_b double, v_b_low double, v_b_high double"), 4)
 
 

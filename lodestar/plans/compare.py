@@ -24,7 +24,7 @@ from lodestar.operators.diagnostics import (
     weight_tail,
 )
 from lodestar.operators.estimators import MODELLED, WEIGHTED, check_method, estimate_column, score_rows
-from lodestar.operators.models import fit_outcome, fit_scaler
+from lodestar.operators.models import Scaler, fit_outcome, fit_scaler
 from lodestar.operators.nuisance import (
     NuisanceBundle,
     OutcomePredictions,
@@ -129,6 +129,7 @@ class Prepared:
     space: tuple
     notes: tuple[str, ...]
     out_of_fold: bool = False
+    scaler: Scaler | None = None
 
 
 @dataclass(frozen=True)
@@ -173,6 +174,7 @@ def prepare(df: DataFrame, policy: Policy, method: str, c: Columns, bundle: Nuis
             if need_mu or crossfit or c.propensity_source == "estimated":
                 raise
     notes: tuple[str, ...] = ()
+    scaler = None
     binary = modelled and is_binary(df, c.target)
     if crossfit:
         key = F.col(c.row_key) if c.row_key else F.xxhash64(*df.columns)
@@ -185,7 +187,8 @@ def prepare(df: DataFrame, policy: Policy, method: str, c: Columns, bundle: Nuis
         if need_pa:
             propensity = resolve_propensity(df, c.propensity_source, c.propensity_col, features, c.action_col, c.space)
         if need_mu:
-            outcome = OutcomePredictions(c.target, fit_outcome(df, features, c.action_col, c.target, binary).mu_array(c.space), c.space)
+            model = fit_outcome(df, features, c.action_col, c.target, binary)
+            outcome, scaler = OutcomePredictions(c.target, model.mu_array(c.space), c.space), model.scaler
     action, mu = F.col(c.action_col), None
     if modelled:
         place = {a: i for i, a in enumerate(outcome.space)}
@@ -196,7 +199,7 @@ def prepare(df: DataFrame, policy: Policy, method: str, c: Columns, bundle: Nuis
         scored = scored.withColumn("top1", action == argmax_action(propensity.pa_all, c.space))
     notes += propensity.notes if propensity and bundle is None else ()
     outer = bool(propensity and propensity.out_of_fold) or bool(modelled and outcome.out_of_fold)
-    return Prepared(scored, tuple(features), propensity, binary, c.space, notes, outer)
+    return Prepared(scored, tuple(features), propensity, binary, c.space, notes, outer, scaler)
 
 
 def unwrap(df, target: str, action_col: str, cluster_col: str | None, propensity_col: str | None, feature_cols) -> tuple:
@@ -284,14 +287,14 @@ def compare_policies(
     warnings: tuple[str, ...] = ()
     notes = p.notes
     if with_ci:
+        own = df.sparkSession.createDataFrame([(out.v_a, out.v_b, out.delta)], "v_a double, v_b double, delta double")
         point = None
         external = nuisance_bundle is not None and (nuisance_bundle.behavior or nuisance_bundle.outcome)
         if external:  # replicates can't reuse what is known of the log's own rows only
-            own = df.sparkSession.createDataFrame([(out.v_a, out.v_b, out.delta)], "v_a double, v_b double, delta double")
             point, p = own, prepare(df, policyB, estimator, replace(c, crossfit=False))
         fitted = p.propensity is not None and p.propensity.source == "estimated" and estimator in WEIGHTED or estimator in MODELLED
         if fitted and (refit is None or refit):
-            summary = _refit_bootstrap(df, p, estimator, c, n_boot, alpha, weight_clip, tau, policyB, seed, point).first()
+            summary = _refit_bootstrap(df, p, estimator, c, n_boot, alpha, weight_clip, tau, policyB, seed, own).first()
         else:
             summary = boot.paired_bootstrap(p.scored, estimator, cluster_col, n_boot, alpha, weight_clip, tau, kind, row_key, seed, point).first()
             if fitted:
@@ -321,24 +324,23 @@ def compare_policies(
     return replace(out, notes=every, info_notes=info, trust_notes=about, trust_level=level, recommendation=advice)
 
 
-def _refit_bootstrap(df: DataFrame, p: Prepared, method: str, c: Columns, n_boot: int, alpha: float, clip: float | None, tau: float, policy: Policy, seed: int | None, point: DataFrame | None) -> DataFrame:
+def _refit_bootstrap(df: DataFrame, p: Prepared, method: str, c: Columns, n_boot: int, alpha: float, clip: float | None, tau: float, policy: Policy, seed: int | None, point: DataFrame) -> DataFrame:
     """Replicates with models fitted again, from sums per replicate over rows that stand once with their counts."""
     space, source = list(p.space), p.propensity.source if p.propensity and method in WEIGHTED else None
     features = list(p.features) or (c.features(df) if source == "estimated" or method in MODELLED else [])
     at = F.array_position(F.array(*map(F.lit, space)), F.col(c.action_col)) - 1
-    x = F.array(*fit_scaler(df, features).columns(features)) if features else F.array(F.lit(0.0))
-    key = F.col(c.cluster_col) if c.cluster_col in df.columns else F.col(c.row_key) if c.row_key else F.monotonically_increasing_id()
+    x = F.array(*(p.scaler or fit_scaler(df, features)).columns(features)) if features else F.array(F.lit(0.0))
+    name = c.cluster_col if c.cluster_col in df.columns else c.row_key
+    key = F.col(name) if name else F.monotonically_increasing_id()
     pa = p.propensity.pa if source == "logged" else F.lit(1.0)
     rows = df.select(key.alias("__key"), x.alias("x"), at.cast("int").alias("a"), F.col(c.target).cast("double").alias("y"), policy.probs().alias("pb"), pa.alias("pa"))
-    rows = boot.cut(rows.filter("__key IS NOT NULL"))
+    rows = rows.filter("__key IS NOT NULL")
+    rows = rows if name else boot.cut(rows)  # numbered once
     keys = boot.ranked(rows.select(F.col("__key").alias("key")).distinct(), "key")
     drawn = boot.cut(rows.join(draws(keys, n_boot, boot.salted(seed)), "__key").drop("__key"))
     v_a, v_b = refit_replicates(drawn, n_boot, len(space), max(len(features), 1), method, p.binary, source == "estimated", clip, tau)
     reps = df.sparkSession.createDataFrame(pd.DataFrame({"v_a": v_a, "v_b": v_b, "delta": v_b - v_a}), "v_a double, v_b double, delta double")
     reps = reps.select(*[F.when(~F.isnan(n), F.col(n)).alias(n) for n in reps.columns])
-    if point is None:
-        point = p.scored.agg(estimate_column("on_policy").alias("v_a"), estimate_column(method, clip, tau).alias("v_b"))
-        point = point.withColumn("delta", F.col("v_b") - F.col("v_a"))
     return boot.paired_summary(point, reps, n_boot, alpha)
 
 

@@ -24,5 +24,20 @@ def test_query(spark, name):
         assert all(p == q or isinstance(p, float) and math.isclose(p, q, rel_tol=1e-6, abs_tol=1e-6) for p, q in zip(x, y)), (x, y)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_refit_reads_its_view_once(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+    view = catalog.view_e(spark, SF)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(catalog, "view_e", lambda spark, d: view.mapInArrow(counted, view.schema))
+    assert catalog.QUERIES["refit_bootstrap_dm"](spark, SF).count() == 1
+    assert read.value == view.count()
+
+
 def test_every_oracle_has_a_query():
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
